@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is represented by its nearest pivots in order; each pivot's inverted
+Pivots are chosen from a bounded sample of the vectors, each next one the farthest by angle from those before it, so a
+crowd of almost equal vectors gives few. A vector is represented by its nearest pivots in order; each pivot's inverted
 file holds the vectors that have it among them, with its place. A query reads the files of its own pivots, adds up how
 well the places agree (which orders vectors as the footrule distance of the two permutations does), and the best SHARE of
 each index block is reranked by the exact inner product in double precision.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-TOP, EVERY, PIVOTS, PREFIX = 20, 20, 128, 64
-BLOCK, QUERIES, SHARE, LEAST = 8192, 1024, 0.12, 400
+TOP, EVERY, PIVOTS, PREFIX, SAMPLE = 20, 20, 128, 64, 2000
+BLOCK, QUERIES, SHARE, LEAST = 8192, 1024, 0.15, 400
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -36,6 +37,15 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
 
 
+def choose_pivots(sample: np.ndarray, most: int = PIVOTS) -> np.ndarray:
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < min(most, len(sample)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    return sample[chosen]
+
+
 def permutations(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Numbers of the nearest pivots of each vector, nearest first."""
     near = -(v @ pivots.T)
@@ -76,8 +86,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, share: float
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "key")
     wanted = asked.select("key").distinct()
     total, queries = entries.count(), wanted.count()
-    pivots = np.array([r.v for r in entries.select("key", "v").orderBy("key").limit(PIVOTS).collect()])
-    pivots = vectors.sparkSession.sparkContext.broadcast(pivots)
+    sample = np.array([r.v for r in entries.select("key", "v").orderBy("key").limit(SAMPLE).collect()])
+    pivots = vectors.sparkSession.sparkContext.broadcast(choose_pivots(sample))
     blocks, groups = -(-total // BLOCK), max(1, -(-queries // QUERIES))
     number = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(n)).cast("int")
     index = entries.select(F.col("v").alias("stored"), "ids", number(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
