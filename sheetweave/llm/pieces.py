@@ -24,10 +24,11 @@ class ChunkEncoder:
     """Ids of texts as int32 by way of their chunks between single spaces.
 
     parts(text) gives the strings that the library encodes one by one. A chunk that isn't the first stands for itself
-    with lead before it. Where clean is given, a text with a chunk that it doesn't match is taken by parts() as a whole.
+    with lead before it. Without parts the library encodes each chunk as it is. Where clean is given, a text with a chunk that it doesn't match is taken by parts() as a whole.
     """
 
-    def __init__(self, tokenizer, parts: Callable[[str], Sequence[str]], lead: str = " ", clean: Callable[[str], object] | None = None):
+    def __init__(self, tokenizer, parts: Callable[[str], Sequence[str]] | None, lead: str = " ", clean: Callable[[str], object] | None = None, most: int = REMEMBERED):
+        self.most = most
         self.tokenizer, self.parts, self.lead, self.clean = tokenizer, parts, lead, clean
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -35,7 +36,7 @@ class ChunkEncoder:
 
     def _learn(self, used: set[str]) -> None:
         missing = [*used.difference(self.pieces)]
-        if len(missing) + len(self.pieces) > REMEMBERED:
+        if len(missing) + len(self.pieces) > self.most:
             self.pieces = {p: self.pieces[p] for p in used.intersection(self.pieces)}
         if missing:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
@@ -52,8 +53,12 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         used = set().union(*split)
+        if self.parts is None:
+            self._learn(used)
+            get = self.pieces.__getitem__
+            return [b"".join(map(get, chunks)) for chunks in split]
         missing = [*used.difference(self.chunks)]
-        if len(missing) + len(self.chunks) > REMEMBERED:
+        if len(missing) + len(self.chunks) > self.most:
             self.chunks = {c: self.chunks[c] for c in used.intersection(self.chunks)}
             self.unclean.intersection_update(self.chunks)
         if missing:

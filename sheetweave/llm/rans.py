@@ -15,6 +15,7 @@ hash. Null ids come first. Columns other than doc_id and text are not read. An e
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -37,19 +38,25 @@ LANES, BLOCK_IDS, CHECKPOINT = 2048, 1 << 19, 128
 _HEAD = struct.Struct("<4sIIIII")
 
 
+#: A mark that ends a Latin-1 word before a space is a piece of its own to the tokenizer.
+_MARK = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= |$)")
+
+
+def spaced(text: str) -> str:
+    """The text with single spaces where the tokenizer parts it anyway; Latin-1 texts also in lower case, as it takes them."""
+    text = text.replace("\n", " ").replace("\t", " ")
+    try:
+        text.isascii() or text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return _MARK.sub(r" \1", text.lower())
+
+
 @lru_cache(2)
 def token_encoder(path: str) -> ChunkEncoder:
-    """Chunks between spaces; the last marks of a word and its capitals are told apart where that changes nothing."""
     tokenizer = library().Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def parts(chunk: str) -> tuple[str, ...]:
-        word = chunk.rstrip(".,")
-        if word.isascii() and word.isalpha():
-            return (word.lower(), chunk[len(word) :]) if len(word) < len(chunk) else (word.lower(),)
-        return (chunk,)
-
-    return ChunkEncoder(tokenizer, parts, lead="")
+    return ChunkEncoder(tokenizer, None, most=600_000)
 
 
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -60,8 +67,7 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
         end = np.array([END], np.int32).tobytes()
         for batch in batches:
             for at, block in text_blocks(batch.column(1)):
-                spaced = [t.replace("\n", " ").replace("\t", " ") for t in block]
-                found = [np.frombuffer(e + end, np.int32).astype(np.uint16).tobytes() for e in encoder.encode(spaced)]
+                found = [np.frombuffer(e + end, np.int32).astype(np.uint16).tobytes() for e in encoder.encode([spaced(t) for t in block])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array(found, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
@@ -156,9 +162,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            data = batch.column(0)
-            for k in range(len(data)):
-                total += 0 if not len(raw := data[k].as_buffer()) else np.bincount(np.frombuffer(raw, np.uint16), minlength=1 << 16) if len(raw) > 1 << 15 else _small(total, raw)
+            column = batch.column(0)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            total += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16), minlength=1 << 16)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["id", "n"])
 
@@ -196,11 +202,6 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     ordered.mapInArrow(encode, _BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
 
 
-def _small(total: np.ndarray, raw) -> int:
-    np.add.at(total, np.frombuffer(raw, np.uint16), 1)
-    return 0
-
-
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids of each document in the files."""
     blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks")
