@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import KEY, SIDES, Box, column_pixels, local_range_ref, parse_range, row_pixels
+from .lineage import cut
 
 EMU_PER_PIXEL = 9525
 
@@ -54,8 +55,10 @@ def image_boxes(images: DataFrame, row_dims: DataFrame, col_dims: DataFrame, she
     far = images.groupBy(*KEY).agg(F.max(F.coalesce("to_row", F.col("from_row") + 50)).alias("far_row"), F.max(F.coalesce("to_col", F.col("from_col") + 30)).alias("far_col"))
     last = far.join(sheet_size, [*KEY], "left").select(*KEY, (F.greatest(F.coalesce("max_row", F.lit(1)), "far_row") + 2).alias("last_row"), (F.greatest(F.coalesce("max_col", F.lit(1)), "far_col") + 2).alias("last_col"))
     rows = pixel_axis(last.select(*KEY, F.col("last_row").alias("last")), row_dims.select(*KEY, "row", F.col("height").alias("size")), "row")
+    rows = cut(rows)
     cols = pixel_axis(last.select(*KEY, F.col("last_col").alias("last")), col_dims.select(*KEY, "col", F.col("width").alias("size")), "col")
-    out = image_pixels(images, cols, rows).join(last, [*KEY])
+    cols = cut(cols)
+    out = cut(image_pixels(images, cols, rows).join(last, [*KEY]))
     for axis, name, at, side, most in ((rows, "row", "y0", "r0", "last_row"), (cols, "col", "x0", "c0", "last_col"), (rows, "row", "y1", "r1", "last_row"), (cols, "col", "x1", "c1", "last_col")):
         out = line_at(out, axis, name, at, side, most)
     return out.withColumn("r1", F.greatest("r0", "r1")).withColumn("c1", F.greatest("c0", "c1")).drop("last_row", "last_col")

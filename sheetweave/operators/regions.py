@@ -10,6 +10,7 @@ from ..functions.boxes import KEY, SIDES, Box
 from .borders import border_edges, expand_to_shells, merge_by_contact
 from .components import component_boxes
 from .drawings import chart_boxes, image_boxes
+from .lineage import cut
 from .occupancy import border_occupied_cells, cell_boxes, clip_boxes, effective_bounds, non_empty_cells, occupied_cells, print_area, remove_contained, valued_merges, visible_boxes, visible_cells
 
 
@@ -28,18 +29,18 @@ def information_regions(t: dict[str, DataFrame], cfg: Config) -> DataFrame:
         drawings.append(image_boxes(images, t["row_dims"], t["col_dims"], size).select(*KEY, *SIDES).distinct())
     if cfg.include_charts:
         drawings.append(chart_boxes(t["charts"]).select(*KEY, *SIDES).distinct())
-    drawings = [see(d) for d in drawings]
+    drawings = [cut(see(d)) for d in drawings]
     filled = non_empty_cells(cells)
     content = [cell_boxes(visible_cells(filled, *hidden) if respect else filled), see(valued_merges(merges, cells)), *drawings]
-    bounds = effective_bounds(content, cfg.bounds_padding_rows, cfg.bounds_padding_cols, print_area(t["sheets"]) if cfg.use_print_area_bounds else None)
+    bounds = cut(effective_bounds(content, cfg.bounds_padding_rows, cfg.bounds_padding_cols, print_area(t["sheets"]) if cfg.use_print_area_bounds else None))
     boxes = component_boxes(occupied_cells(cells, merges, bounds, cfg, hidden), cfg.grid_connectivity, cfg.min_occupied_cells).select(*KEY, "label_row", "label_col", *SIDES)
     if cfg.use_borders:
         shells = component_boxes(border_occupied_cells(cells, merges, bounds, cfg, hidden), cfg.border_grid_connectivity, cfg.min_border_cells).select(*KEY, "label_row", "label_col", *SIDES)
         boxes = expand_to_shells(boxes, shells, cfg)
-    out = boxes.select(*KEY, *SIDES)
+    out = cut(boxes.select(*KEY, *SIDES))
     if cfg.use_border_contact_merge:
         edges = border_edges(cells, merges if cfg.include_merged_cells else None, bounds, cfg.border_contact_strong_only, hidden if respect else None)
-        out = merge_by_contact(out, edges, cfg)
+        out = cut(merge_by_contact(out, edges, cfg))
     for d in drawings:
         out = out.unionByName(clip_boxes(d, bounds).select(*KEY, *SIDES))
     out = out.distinct()

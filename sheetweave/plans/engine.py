@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..config import Config, load_config
 from ..functions.boxes import KEY, SIDES, Box, image_extension, is_non_empty, safe_filename_part
+from ..operators.lineage import cut
 from ..operators.drawings import bar_geometry, chart_boxes, chart_sources, image_boxes, pixel_axis
 from ..operators.occupancy import clip_boxes, print_area, visible_boxes
 from ..operators.regions import information_regions, summary
 from ..operators.snapshots import snapshot_plan
-from ..operators.tree import region_tree, root_boxes
+from ..operators.tree import inner_tables, region_tree, root_boxes
 from ..png import Canvas
 from ..sources.xlsx import read_workbooks
 
@@ -102,21 +103,22 @@ def run_and_write(spark: SparkSession, path: str, out_dir: str, sheet: str | Non
     """Regions, trees, drawings and plans of one workbook, and their files below out_dir."""
     cfg = load_config(config_path, overrides)
     t = read_workbooks(spark, path, sheet, cfg.respect_hidden_sheets)
-    t = {k: v.cache() for k, v in t.items()}
-    found = information_regions(t, cfg).cache()
+    t = {k: cut(v) for k, v in t.items()}
+    found = cut(information_regions(t, cfg))
     order = [r.sheet for r in t["sheets"].orderBy("sheet_idx").collect()]
     if sheet and not order:
         raise KeyError(sheet)
-    roots, everything = root_boxes(found), {}
+    roots, everything = cut(root_boxes(found)), {}
     trees = region_tree(found, t["cells"], t["merges"]).orderBy(*SIDES).collect()
-    images = placed_images(t, cfg).orderBy("idx").collect() if cfg.extract_embedded_images else []
+    placed = cut(placed_images(t, cfg)) if cfg.extract_embedded_images else None
+    images = placed.orderBy("idx").collect() if placed is not None else []
     charts = chart_table(t, cfg).orderBy("idx").collect() if cfg.include_charts else []
     drawn = write_images and cfg.visualization.get("enabled", True)
     rects = draw_list(found, t, cfg).collect() if drawn else []
     plans: list = []
     if drawn and write_snapshots:
-        refs = placed_images(t, cfg).select(*KEY, "range_ref") if cfg.extract_embedded_images else found.limit(0).select(*KEY, "range_ref")
-        plans = snapshot_plan(_tree_boxes(roots, found, t), t["cells"].withColumn("text", F.col("cached")), t["merges"], refs).orderBy(*SIDES).collect()
+        refs = placed.select(*KEY, "range_ref") if cfg.extract_embedded_images else found.limit(0).select(*KEY, "range_ref")
+        plans = snapshot_plan(_tree_boxes(roots, t), t["cells"].withColumn("text", F.col("cached")), t["merges"], refs).orderBy(*SIDES).collect()
     out = Path(out_dir)
     for name in order:
         folder = out / re.sub(r'[\\/:*?"<>|]', "_", name)
@@ -146,16 +148,12 @@ def run_and_write(spark: SparkSession, path: str, out_dir: str, sheet: str | Non
     result = {"workbook": str(path), "sheets": everything}
     write_json(out / "info_regions_full.json", result)
     write_json(out / "info_regions_summary.json", {"workbook": str(path), "sheet_count": len(order), "sheets": {k: {"region_count": len(v["regions"]), "regions": v["regions"]} for k, v in everything.items()}})
-    for v in (*t.values(), found):
-        v.unpersist()
     return result
 
 
-def _tree_boxes(roots: DataFrame, found: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+def _tree_boxes(roots: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     """Roots and their inner tables."""
-    from ..operators.tree import inner_tables
-
-    return roots.select(*KEY, *SIDES).unionByName(inner_tables(roots, t["cells"], t["merges"]).select(*KEY, *SIDES)).distinct()
+    return cut(roots.select(*KEY, *SIDES).unionByName(inner_tables(roots, t["cells"], t["merges"]).select(*KEY, *SIDES)).distinct())
 
 
 def _ids(tree: list[dict]) -> dict[str, str]:

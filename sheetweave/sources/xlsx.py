@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.boxes import KEY
+from ..operators.lineage import cut
 
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -252,7 +253,7 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
 
 def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None, visible_only: bool = False) -> dict[str, DataFrame]:
     """The tables of all workbooks at a path. A named sheet is taken whatever its state; else hidden ones may be left out."""
-    parsed = parse_files(spark.read.format("binaryFile").load(path))
+    parsed = cut(parse_files(spark.read.format("binaryFile").load(path)))  # each file is parsed once
     t = tables(parsed)
     pick = t["sheets"].where(F.col("sheet") == sheet) if sheet else t["sheets"].where("state = 'visible'") if visible_only else t["sheets"]
     names = pick.select(*KEY)
