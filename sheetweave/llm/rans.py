@@ -19,6 +19,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
 from .common import checkpoint_dir
-from .pieces import ChunkEncoder, library, text_blocks
+from .pieces import library, text_blocks
 
 TOKENIZER, END = "word_bpe_49k.json", 1
 SCALE, LOW = 20, np.uint64(1 << 31)
@@ -38,8 +39,10 @@ LANES, BLOCK_IDS, CHECKPOINT = 2048, 1 << 19, 128
 _HEAD = struct.Struct("<4sIIIII")
 
 
-#: A mark that ends a Latin-1 word before a space is a piece of its own to the tokenizer.
-_MARK = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= |$)")
+#: Chunks of letters, digits and marks that no normal form changes; other chunks are left to the library as a whole.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own pieces of such a chunk in lower case.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def spaced(text: str) -> str:
@@ -49,14 +52,59 @@ def spaced(text: str) -> str:
         text.isascii() or text.encode("latin-1")
     except UnicodeEncodeError:
         return text
-    return _MARK.sub(r" \1", text.lower())
+    return text.lower()
+
+
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for the bytes of each Latin-1 letter beyond ASCII, by the byte table of byte-level BPE."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    table = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {c: "".join(table[b] for b in chr(c).encode()) for c in range(192, 256)}
+
+
+class WordEncoder(dict):
+    """Ids of chunks between spaces as int32, each chunk that is remembered encoded once.
+
+    Pieces of plain chunks go to the library's BPE model itself, without its normaliser and pattern. Beyond most chunks
+    the memory starts anew; those of the one before are taken over as they come up, which changes no result.
+    """
+
+    def __init__(self, tokenizer, most: int = 300_000):
+        super().__init__()
+        self.tokenizer, self.model, self.bytes_as = tokenizer, tokenizer.model, byte_characters()
+        self.most, self.older = most, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            if not _PLAIN.fullmatch(chunk):
+                found = array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+            elif chunk.isalpha():
+                found = self._piece(chunk.lower())
+            else:
+                pieces = _PIECES.findall(chunk.lower())
+                found = self._piece(chunk.lower()) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
+        self[chunk] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        piece = piece if piece.isascii() else piece.translate(self.bytes_as)
+        return array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, text.split(" "))) for text in texts]
 
 
 @lru_cache(2)
-def token_encoder(path: str) -> ChunkEncoder:
+def token_encoder(path: str) -> WordEncoder:
     tokenizer = library().Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return ChunkEncoder(tokenizer, None, most=600_000)
+    return WordEncoder(tokenizer)
 
 
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
