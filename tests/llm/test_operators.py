@@ -159,3 +159,14 @@ def test_network_beats_counts_alone(spark):
     rows = [(k, " ".join(w for _ in range(400) for w in rng.choice(pairs))) for k in range(40)]
     out = lm.pseudo_likelihood(docs_of(spark, rows)).collect()
     assert np.mean([r.perplexity for r in out]) < 6 and all(r.n_words == 800 for r in out)  # eight words alike: 8 by counts
+
+
+def test_chunk_encoder_equals_the_library():
+    encoder = rans.token_encoder(bpe.vocabulary_path(rans.TOKENIZER))
+    rng = np.random.default_rng(5)
+    signs = [*"aZéÉßÿÞ1 9.,'!s t\n\t\u0301İΣ“<|>\x85\xa0µªvdlremLL½\x1c"]
+    texts = ["", "It's THE end!'s we'll they'RE 3.14 --- <|endoftext|>", "İstanbul ΣΑΣ. 日本 ẞ", *("".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(3000))]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for most in (encoder.most, 50):  # the second time memory starts anew with every text
+        own = rans.WordEncoder(encoder.tokenizer, most)
+        assert [np.frombuffer(own.encode([rans.spaced(t)])[0], np.int32).tolist() for t in texts] == want
