@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def salted_join(rows: DataFrame, values: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
+    """rows joined with values on key, where values has a row a key: a hot key's rows are dealt by spread to so many tasks.
+
+    Only the pairs of key and salt that occur are made, so values never grow beyond rows. Null keys join nothing.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return dealt.join(dealt.select(key, "_salt").distinct().join(values, key), [key, "_salt"]).drop("_salt")
+
+
 def is_held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0
 
@@ -130,14 +139,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(x, dtype=np.float64)))
 
 
+def _scores(score, texts: pa.Array) -> np.ndarray:
+    raw, offsets = column_buffer(texts)
+    out = [score(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def kept_by_score(docs: DataFrame, score, keep: Callable[[Column], Column]) -> DataFrame:
+    """The rows of docs, whole, whose text's score is kept; each row is judged by itself, whatever its id."""
+
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(_scores(score, texts), pa.float64())
+
+    return docs.where(keep(of(docs["text"].cast("string"))))
+
+
 def append_scores(docs: DataFrame, score, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs; score(raw, offsets) gives the scores of a block of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = column_buffer(batch.column(1))
-            out = [score(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(score, batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

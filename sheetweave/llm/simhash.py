@@ -13,6 +13,7 @@ them meet in a task of their own, so none grows with a hot key.
 
 Null and empty texts, and texts of separators only, have fingerprint zero, which is linked like any other. Rows with the
 same text share a fingerprint and a component. Repeated ids are kept as rows. Null ids take part and come out as null.
+Of each component keep_one keeps the row with the smallest id (null: last; of one id, that with the smallest hash of its text).
 Columns other than doc_id and text are not read. An empty table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, salted_join
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of a shard that are taken in one tree.
@@ -44,19 +45,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     hashes = [digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes(), "big")
+    raw, count = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+    for at in range(0, len(raw), 1 << 16):
+        count += np.unpackbits(raw[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+    """doc_id, fp (the 64 bits as a signed long), text_hash of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash(docs)).mapInArrow(run, "doc_id long, fp long, text_hash long")
+
+
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string")).alias("text_hash")
 
 
 def _shard_keys(fp: Column) -> Column:
@@ -193,11 +200,11 @@ def components(pairs: DataFrame, most: int = 60) -> DataFrame:
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-        near = both.join(least, both.a == least.node)
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        near = salted_join(both, least, "a", "b")
         if large:
-            return near.where("b > node").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
+            return near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
     edges, before = cut(tidy(pairs)), None
     for _ in range(most):
@@ -211,17 +218,26 @@ def components(pairs: DataFrame, most: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
+def _members(marked: DataFrame, least: Column, radius: int) -> DataFrame:
+    """fp, least (the aggregate over the fingerprint's rows), root of every distinct fingerprint."""
+    groups = marked.groupBy("fp").agg(least.alias("least"))
+    found = components(links(marked.select("fp").distinct(), radius))
+    return groups.join(found, groups.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id of every row: the smallest doc_id that it reaches over links."""
-    marked = cut(fingerprints(docs, shingle))
-    groups = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(marked.select("fp").distinct(), radius))
-    member = groups.join(found, groups.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = cut(fingerprints(docs, shingle).drop("text_hash"))
+    member = cut(_members(marked, F.min("doc_id"), radius))
+    named = salted_join(member, member.groupBy("root").agg(F.min("least").alias("component_id")), "root", "fp").select("fp", "component_id")
+    return salted_join(marked, named, "fp", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id names its component, one for each."""
-    kept = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """A row of docs for each component."""
+    marked = cut(fingerprints(docs, shingle))
+    member = _members(marked, F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")), radius)
+    kept = member.groupBy("root").agg(F.min("least").alias("row")).select(F.struct("row.doc_id", "row.text_hash").alias("kept")).distinct()
+    row = F.struct(docs["doc_id"].cast("long").alias("doc_id"), _text_hash(docs))
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), row.alias("row"))
+    return own.join(kept, own.row == kept.kept, "left_semi").dropDuplicates(["row"]).select("doc.*")
