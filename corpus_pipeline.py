@@ -5,31 +5,24 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sheetweave.llm import bpe, decontamination, quality, simhash, toxicity
 from sheetweave.llm.common import checkpoint_dir, table
 
 
-def _kept(docs: DataFrame, scores: DataFrame, rejected: int) -> DataFrame:
-    """Rows of docs but for those whose id was rejected."""
-    gone = scores.where(F.col("predicted") == rejected).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    return _kept(docs, quality.score_quality(docs, table(spark, sf_dir, "labels")), 0)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't found toxic."""
-    return _kept(docs, toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")), 1)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ items of under LEAST words are too common to be a sign and are left out.
 Hits are found without a shuffle where the benchmark's seeds number at most BROADCAST_SEEDS, which is counted first; a
 larger benchmark is taken in parts of that size, each in a pass of its own, so what is broadcast has that bound.
 
-Null and empty texts on either side overlap nothing. Rows that repeat an id count together under it. Columns other than
+Null and empty texts on either side overlap nothing. Rows that repeat an id count together under it, null as an id like
+any other; clean() judges each row by its own text. Columns other than
 ids and text are not read. Empty tables give an empty result. Long texts are searched whole.
 """
 
@@ -57,7 +58,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
 
 
 def _verified(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    hits = hits.join(F.broadcast(items) if small else items, "item_id")
+    named = items.select(F.col("item_id").alias("own_id"), "item").distinct()
+    hits = hits.join(F.broadcast(named) if small else named, F.col("item_id").eqNullSafe(F.col("own_id")))
     size = F.when(F.col("span") < SPAN, F.size("item")).otherwise(F.least(F.lit(WINDOW), F.size("item")))
     hits = hits.withColumn("w", size).withColumn("shift", F.col("doc_at") - F.col("item_at"))
     lo = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - F.col("w"), -F.col("shift"))
@@ -71,8 +73,10 @@ def _verified(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has no overlap with the benchmark."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose text has no overlap with the benchmark."""
+    row = F.struct(docs["doc_id"], F.xxhash64(docs["text"].cast("string")).alias("text_hash"))
+    found = overlaps(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("found")).distinct()
+    return docs.join(found, row == F.col("found"), "left_anti")
 
 
 def _sql() -> str:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import _SPACE, _WORD, U64, append_scores, labelled_sample, lowered, mix, run_hashes, runs, sigmoid, text_buffer
+from .common import _SPACE, _WORD, U64, append_scores, kept_by_score, labelled_sample, lowered, mix, run_hashes, runs, sigmoid, text_buffer
 
 #: Bound of the labelled sample, for each class.
 PER_CLASS = 3000
@@ -152,3 +152,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     model = fit(labelled_sample(docs, labels, "quality", per_class))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return append_scores(docs, lambda raw, offsets: shared.value.score(raw, offsets), 0.3)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject: no join, each row by its own text, null and repeated ids too."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", per_class)))
+    return kept_by_score(docs, lambda raw, offsets: shared.value.score(raw, offsets), lambda s: s >= 0.3)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import U64, append_scores, labelled_sample, mix, sigmoid, text_buffer, word_hashes
+from .common import U64, append_scores, kept_by_score, labelled_sample, mix, sigmoid, text_buffer, word_hashes
 
 #: Bound of the labelled sample, for each class.
 PER_CLASS = 3000
@@ -182,3 +182,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     model = fit(labelled_sample(docs, labels, "toxic", per_class))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return append_scores(docs, lambda raw, offsets: shared.value.score(raw, offsets), 0.5)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of docs that aren't found toxic: no join, each row by its own text, null and repeated ids too."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", per_class)))
+    return kept_by_score(docs, lambda raw, offsets: shared.value.score(raw, offsets), lambda s: s < 0.5)

@@ -44,6 +44,25 @@ def test_simhash_matches_brute_force(spark, odd):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    text = [" ".join(f"{stem}{k}" for k in range(40)) for stem in "pqrst"]
+    rows = [(5, text[0]), (5, text[1]), (3, text[0]), (None, text[2]), (None, text[2]), (None, text[3]), (9, text[3]), (9, text[3]), (2, text[4])]
+    out = simhash.keep_one(docs_of(spark, rows))
+    assert out.columns == ["doc_id", "text", "hash", "key"]
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=key) == sorted([(3, text[0]), (5, text[1]), (None, text[2]), (9, text[3]), (2, text[4])], key=key)
+    assert simhash.keep_one(docs_of(spark, rows).limit(0)).collect() == []
+
+
+def test_rows_are_cleaned_one_by_one(spark):
+    item = " ".join(f"t{k}" for k in range(30))
+    bench = spark.createDataFrame([(None, item), (None, "other words of an item that nobody has")], "item_id long, text string")
+    rows = [(None, item), (None, "clean"), (1, "so " + item), (1, "clean too"), (2, None)]
+    out = decontamination.clean(docs_of(spark, rows), bench)
+    assert out.columns == ["doc_id", "text", "hash", "key"]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(None, "clean"), (1, "clean too"), (2, None)]))
+
+
 def test_large_shards_are_cut_into_blocks(spark):
     rng = np.random.default_rng(1)
     fp = np.unique(np.concatenate([rng.integers(0, 2**63, 40), 7 ^ (1 << rng.integers(0, 60, 60)), 7 ^ (1 << rng.integers(0, 60, 60)) ^ (1 << rng.integers(0, 60, 60))]).astype(np.int64))
@@ -150,6 +169,11 @@ def test_classifiers_learn_a_marker(spark, odd, module, run, marker, threshold):
     held = [r for r in out if r.held_out and r.doc_id and r.doc_id >= 100]
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
     assert np.mean([(r.predicted == 1) == ((r.doc_id % 2 == 1) == bad) for r in held]) >= 0.95
+    keep, scored = toxicity.keep_clean if bad else quality.keep_good, docs_of(spark, rows + odd)
+    kept = keep(scored, labels)
+    assert kept.columns == scored.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in out if r.predicted == 1 - bad)
+    assert keep(scored.limit(0), labels).collect() == [] and keep(docs_of(spark, odd), labels.limit(0)).count() == len(odd)
     assert len(run(docs_of(spark, odd), labels.limit(0)).collect()) == len(odd)
 
 
