@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .pieces import ChunkEncoder, id_lists, library, text_blocks
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Pieces and chunks, each, that a Python worker remembers; workers outlive their stage, so it bounds what they hold. No result depends on it.
+REMEMBERED = 100_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -68,7 +70,7 @@ def token_encoder(path: str) -> ChunkEncoder:
             return (word, text[len(word) :]) if len(word) < len(text) else (word,)
         return find(text)
 
-    return ChunkEncoder(tokenizer, parts, clean=lambda chunk: chunk and not chunk[0].isspace() and not chunk[-1].isspace())
+    return ChunkEncoder(tokenizer, parts, clean=lambda chunk: chunk and not chunk[0].isspace() and not chunk[-1].isspace(), most=REMEMBERED)
 
 
 @lru_cache(4)
