@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetweave.llm import bpe, decontamination, quality, simhash, toxicity
+from sheetweave.llm import bpe, decontamination, quality, shingles, toxicity
 from sheetweave.llm.common import checkpoint_dir, table
 
 
@@ -21,8 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """The document with the smallest id of each group of near-duplicates: texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return shingles.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

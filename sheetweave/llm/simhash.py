@@ -236,7 +236,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """A row of docs for each component."""
     marked = cut(fingerprints(docs, shingle))
-    member = _members(marked, F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")), radius)
+    return kept_rows(docs, _members(marked, F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")), radius))
+
+
+def kept_rows(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """The row of docs that is the least of each root's members."""
     kept = member.groupBy("root").agg(F.min("least").alias("row")).select(F.struct("row.doc_id", "row.text_hash").alias("kept")).distinct()
     row = F.struct(docs["doc_id"].cast("long").alias("doc_id"), _text_hash(docs))
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), row.alias("row"))
