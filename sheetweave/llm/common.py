@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that the numpy kernels take at once; longer single texts are taken alone.
 SLICE_BYTES = 1 << 21
+#: Bound of the labelled texts of a class that the driver takes to fit a classifier.
+SAMPLE_BYTES = 16 << 20
 _MULT = U64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(64, 0x100000001B3, dtype=U64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,32 +46,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(rows: DataFrame, values: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
+def salted_join(rows: DataFrame, values: DataFrame, key: str | list[str], spread: str, salts: int = 64) -> DataFrame:
     """rows joined with values on key, where values has a row a key: a hot key's rows are dealt by spread to so many tasks.
 
     Only the pairs of key and salt that occur are made, so values never grow beyond rows. Null keys join nothing.
     """
+    keys = [key] if isinstance(key, str) else key
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return dealt.join(dealt.select(key, "_salt").distinct().join(values, key), [key, "_salt"]).drop("_salt")
+    return dealt.join(dealt.select(*keys, "_salt").distinct().join(values, keys), [*keys, "_salt"]).drop("_salt")
 
 
 def is_held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> list[tuple[str, int]]:
-    """At most per_class texts of each label, those with the smallest hashes of doc_id, none of them held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most per_class texts of each label and most_bytes of them, those with the smallest hashes of doc_id, none held out.
 
-    Labels other than 0 and 1 and null ids are left out; of several labels for an id the largest counts. The ids
-    joined by broadcast are bounded by 2 * per_class.
+    Labels other than 0 and 1 and null ids are left out; of several labels for an id the largest counts, of several texts
+    the least. Texts are whole: those beyond most_bytes are left out. The ids joined by broadcast are bounded by 2 * per_class.
     """
     y = F.col(column).cast("int")
     known = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy("doc_id").agg(F.max(y).alias("_y"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("_y = 0").orderBy(*order).limit(per_class).unionByName(known.where("_y = 1").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
-    return [(r.text or "", r._y) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    text = F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")
+    rows = docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
+    up_to = Window.partitionBy("_y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_n", F.sum(F.octet_length("text")).over(up_to)).where(F.col("_n") <= most_bytes)
+    return [(r.text, r._y) for r in sorted(rows.select("doc_id", "_y", "text").collect(), key=lambda r: r.doc_id)]
 
 
 def text_buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,30 +1,17 @@
-"""Near-duplicates by the similarity of their shingle sets.
+"""Sets of word shingles: their hashes, min-hash bands, fingerprints and similarities, in numpy.
 
-Two texts are near-duplicates where the Jaccard similarity of their sets of WIDTH-word shingles is LEAST or more; words are
-split at ASCII white space and lower-cased in ASCII, as for fingerprints. Texts of fewer words have one shingle of all of
-them. Candidates come from BANDS bands of ROWS min-hashes each: a pair at just LEAST shares no band with a probability of
-3e-6, a more similar one with less. Texts that share bands, directly or by others, form a coarse group; in a group the true
-similarities decide, every pair that isn't joined already being compared, so no pair within a group is lost or joined in
-error. A group of more than GROUP texts is cut into blocks, each two of which meet in a task of their own.
-
-Null and empty texts, and texts of separators only, have the empty set and count as alike. Texts are told apart by 64-bit
-hashes. Of each component keep_one keeps the row that simhash.keep_one would. An empty table gives an empty result.
+Words are split at ASCII white space and lower-cased in ASCII. Texts of fewer than WIDTH words have one shingle of all of
+them; null and empty texts have the empty set, and two empty sets count as alike. Each of BANDS bands has ROWS min-hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, U64, column_buffer, cut, mix, run_hashes, runs, salted_join, slices
-from .simhash import _text_hash, components, kept_rows
+from .common import _LOWER, _SPACE, U64, mix, run_hashes, runs
 
 WIDTH, LEAST = 5, 0.8
-BANDS, ROWS, GROUP = 32, 5, 128
+BANDS, ROWS, GROUP = 32, 5, 256
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS + 64), dtype=U64) | U64(1)
 
 
@@ -56,8 +43,29 @@ def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def joined_by_similarity(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """A tree of links for each component of the sets of distinct hashes."""
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each row's shingles, and each row's range of them."""
+    hashes, bounds = shingles(raw, offsets, width)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])) if len(hashes) else np.zeros(0, bool)
+    return hashes[new], np.searchsorted(row[new], np.arange(len(bounds)))
+
+
+def set_fingerprints(hashes: np.ndarray, bounds: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """A bit is set where over half of the row's hashes have it; zero for an empty row."""
+    count = np.zeros((len(bounds) - 1, 64), np.int64)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for a in range(0, len(hashes), block):
+        bits = np.unpackbits(hashes[a : a + block].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        first = np.flatnonzero(np.append(True, row[a + 1 : a + len(bits)] != row[a : a + len(bits) - 1]))
+        count[row[a + first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * count > np.diff(bounds)[:, None], axis=1).view(">u8").ravel().astype(U64)
+
+
+def joined_by_similarity(sets: list[np.ndarray], fp: np.ndarray, least: float = LEAST, radius: int = 64) -> list[tuple[int, int]]:
+    """A tree of links for each component of the sets of distinct hashes; only fingerprints within the radius are looked at."""
     size = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(size)
@@ -67,7 +75,7 @@ def joined_by_similarity(sets: list[np.ndarray], least: float = LEAST) -> list[t
         todo, left = [int(left[0])], left[1:]
         while todo and len(left):
             i = todo.pop()
-            fit = (np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i])).nonzero()[0]
+            fit = np.flatnonzero((np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i])) & (np.bitwise_count(fp[left] ^ fp[i]) <= radius))
             if not len(fit):
                 continue
             own[code[i]] = True
@@ -80,62 +88,3 @@ def joined_by_similarity(sets: list[np.ndarray], least: float = LEAST) -> list[t
             todo += [int(j) for j in left[near]]
             left = np.delete(left, near)
     return out
-
-
-def _keys(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = column_buffer(batch.column(0))
-            node = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in slices(offsets):
-                key = band_keys(*shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[a:b], BANDS)), pa.array(key.ravel().view(np.int64))], names=["node", "key"])
-
-    return docs.select(F.col("text").cast("string"), _text_hash(docs)).mapInArrow(run, "node long, key long").distinct()
-
-
-def links(docs: DataFrame, least: float = LEAST, width: int = WIDTH, group: int = GROUP) -> DataFrame:
-    """a, b: hashes of texts that are linked, enough of them that the same components come out as from all links."""
-    keyed = cut(_keys(docs, width))
-    first = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    shared = salted_join(keyed, first, "key", "node").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    coarse = components(shared)
-    coarse = cut(coarse.unionByName(coarse.select(F.col("root").alias("node"), "root")).distinct())
-    size = coarse.groupBy("root").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
-    dealt = salted_join(coarse, size, "root", "node").select(F.col("node").alias("text_hash"), "root", "blocks")
-    texts = salted_join(docs.select("doc_id", F.col("text").cast("string").alias("text"), _text_hash(docs)), dealt, "text_hash", "doc_id")
-    met = texts.dropDuplicates(["text_hash"]).withColumn("block", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int"))
-    met = met.select("text_hash", "text", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "text_hash", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = {}, None
-
-        def flush() -> pa.RecordBatch:
-            node = np.array(list(held), np.int64)
-            pairs = np.array(joined_by_similarity(list(held.values()), least), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
-
-        for batch in batches:
-            shard, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-            raw, offsets = column_buffer(batch.column(2))
-            for a, b in slices(offsets):
-                hashes, bounds = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                for k in range(a, b):
-                    if shard[k] != now and held:
-                        yield flush()
-                        held = {}
-                    now = shard[k]
-                    held[node[k]] = np.unique(hashes[bounds[k - a] : bounds[k - a + 1]])
-        if held:
-            yield flush()
-
-    return met.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
-
-
-def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """A row of docs for each component."""
-    row = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").cast("long").alias("doc_id"), "text_hash")
-    groups = docs.select("doc_id", _text_hash(docs)).groupBy("text_hash").agg(F.min(row).alias("least"))
-    found = components(links(docs, least, width))
-    return kept_rows(docs, groups.join(found, groups.text_hash == found.node, "left").select("least", F.coalesce("root", "text_hash").alias("root")))

@@ -11,10 +11,16 @@ A tree goes to the one task that holds its probes instead of being broadcast: th
 the corpus, and no bound on them can be proven. A shard of more than SHARD fingerprints is cut into blocks; each two of
 them meet in a task of their own, so none grows with a hot key.
 
-Null and empty texts, and texts of separators only, have fingerprint zero, which is linked like any other. Rows with the
-same text share a fingerprint and a component. Repeated ids are kept as rows. Null ids take part and come out as null.
-Of each component keep_one keeps the row with the smallest id (null: last; of one id, that with the smallest hash of its text).
-Columns other than doc_id and text are not read. An empty table gives an empty result.
+keep_one takes texts for near-duplicates where the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
+Fingerprints of such sets differ in up to FILTER bits, for which no blocks of 64 bits are sure to agree, so their shards
+are keyed by min-hash bands (a pair at just 0.8 shares none with a probability of 3e-6). What the BK-trees link within
+FILTER bits is a coarse group; in a group true similarities decide, so no unlike texts are joined.
+
+Null and empty texts, and texts of separators only, have fingerprint zero, which is linked like any other; keep_one takes
+their empty sets for alike. Rows with the same text share a fingerprint and a component. Repeated ids are kept as rows.
+Null ids take part and come out as null. Of each component keep_one keeps the row with the smallest id (null: last; of
+one id, that with the smallest hash of its text; of rows alike in both, that with the smallest hash of all columns).
+Columns other than doc_id and text are not read by near_duplicates. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join
+from .common import column_buffer, cut, salted_join, slices
+from .shingles import BANDS, GROUP, LEAST, WIDTH, band_keys, joined_by_similarity, set_fingerprints, shingle_sets
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
+#: Bits by which fingerprints of shingle sets with a similarity of LEAST differ at most: 9.7 are to be expected, 2.9 being the deviation.
+FILTER = 22
 #: Fingerprints of a shard that are taken in one tree.
 SHARD = 20_000
+#: Links that one task finishes: 16 bytes each, and some arrays of that length.
+WHOLE = 2_000_000
 #: Widths of the five blocks of bits, from the lowest.
 BLOCKS = (13, 13, 13, 13, 12)
 
@@ -135,22 +146,32 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _spanning(shard: np.ndarray, fp: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each fingerprint to the first of its set; a tree over the first side is walked from the other, if there is one."""
+    """Links of each fingerprint to the first of its set; a tree over the first side is walked from the other, if there is one.
+
+    What lies within the radius of a shard's first fingerprint is one set at once and needs no walk among itself.
+    """
     _, shard = np.unique(shard, return_inverse=True)
     order = np.lexsort((fp, shard))
     shard, fp, right = shard[order], fp[order], right[order]
-    labels = np.arange(len(fp))
-    two = np.zeros(int(shard[-1]) + 1, bool) if len(shard) else np.zeros(0, bool)
+    labels, count = np.arange(len(fp)), int(shard[-1]) + 1 if len(shard) else 0
+    two, root = np.zeros(count, bool), np.full(count, -1)
     two[shard[right]] = True
-    stored = np.flatnonzero(~(two[shard] & right))
-    probes = np.flatnonzero(~two[shard] | right)
-    present = np.unique(shard[stored])
-    keep = np.isin(shard[probes], present)
-    probes = probes[keep]
-    number = np.searchsorted(present, shard)
-    forest = Forest(number[stored], fp[stored])
-    for at, node in forest.near(fp[probes], number[probes], radius):
-        labels = joined(labels, probes[at], stored[node])
+    crossed = two[shard]
+    stored, probing = ~(crossed & right), ~crossed | right
+    at = np.flatnonzero(stored)
+    root[shard[at[::-1]]] = at[::-1]
+    first = root[shard]
+    close = (first >= 0) & (np.bitwise_count(fp ^ fp[np.maximum(first, 0)]) <= radius)
+    labels = joined(labels, np.flatnonzero(close), first[close])
+    for held, probes in ((stored & ~close, probing), (stored & close & crossed, probing & ~close & crossed)):
+        nodes, probes = np.flatnonzero(held), np.flatnonzero(probes)
+        present = np.unique(shard[nodes])
+        probes = probes[np.isin(shard[probes], present)]
+        if len(nodes) and len(probes):
+            number = np.searchsorted(present, shard)
+            forest = Forest(number[nodes], fp[nodes])
+            for place, node in forest.near(fp[probes], number[probes], radius):
+                labels = joined(labels, probes[place], nodes[node])
     own = np.flatnonzero(labels != np.arange(len(fp)))
     return fp[own], fp[labels[own]]
 
@@ -159,9 +180,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     """a, b: fingerprints linked within the radius, enough of them that the same sets come out as from all."""
     if radius > RADIUS:
         raise ValueError("two of five blocks agree for a radius of 3 at most")
-    keyed = distinct.select("fp", F.explode(_shard_keys(F.col("fp"))).alias("key"))
-    size = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / shard).cast("int").alias("blocks"))
-    parted = keyed.join(size, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    return _linked(distinct.select("fp", F.explode(_shard_keys(F.col("fp"))).alias("key")), radius, shard)
+
+
+def _linked(keyed: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
+    """a, b: links within the radius between fingerprints of the same shard, by rows of fp and the shard's key."""
+    large = keyed.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("blocks"))
+    parted = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    parted = parted.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     met = parted.select("fp", "key", "block", F.explode(other).alias("other"))
     met = met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "fp", (F.col("block") > F.col("other")).alias("right"))
@@ -189,12 +215,48 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
         if held:
             yield flush(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _stars(batches: Iterator[pa.RecordBatch], most: int = WHOLE) -> Iterator[pa.RecordBatch]:
+    """Links of every node to the smallest that it reaches within the task, at most so many links being held at once."""
+    held, size = [], 0
+
+    def star() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        labels = joined(np.arange(len(nodes)), place[: len(a)], place[len(a) :])
+        own = np.flatnonzero(labels != np.arange(len(nodes)))
+        return nodes[own], nodes[labels[own]]
+
+    for batch in batches:
+        a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        held.append((a, b))
+        size += len(a)
+        if size >= most:
+            held = [star()]
+            if len(held[0][0]) > most // 2:  # all of them are needed: they go on as they are
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                held = []
+            size = len(held[0][0]) if held else 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in star()], names=["a", "b"])
 
 
-def components(pairs: DataFrame, most: int = 60) -> DataFrame:
-    """node, root: the smallest node that each node of the pairs a, b reaches, by alternating star steps."""
+def components(pairs: DataFrame, whole: int = WHOLE, most: int = 60) -> DataFrame:
+    """node, root: the smallest node that each node of the pairs a, b reaches.
 
+    Each task first makes its own links stars. Of what is left, at most whole links are finished by one task, which that
+    number bounds; more of them go through alternating star steps over all executors until nothing changes.
+    """
+    stars = lambda df: df.mapInArrow(_stars, "a long, b long")
+    edges = cut(stars(pairs.select("a", "b")))
+    if edges.count() <= whole:
+        return stars(edges.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return _by_star_steps(edges, most)
+
+
+def _by_star_steps(pairs: DataFrame, most: int) -> DataFrame:
     def tidy(df: DataFrame) -> DataFrame:
         return df.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -218,9 +280,9 @@ def components(pairs: DataFrame, most: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
-def _members(marked: DataFrame, least: Column, radius: int) -> DataFrame:
-    """fp, least (the aggregate over the fingerprint's rows), root of every distinct fingerprint."""
-    groups = marked.groupBy("fp").agg(least.alias("least"))
+def _members(marked: DataFrame, radius: int) -> DataFrame:
+    """fp, least (the smallest id of the fingerprint's rows), root of every distinct fingerprint."""
+    groups = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(marked.select("fp").distinct(), radius))
     return groups.join(found, groups.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
@@ -228,20 +290,85 @@ def _members(marked: DataFrame, least: Column, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id of every row: the smallest doc_id that it reaches over links."""
     marked = cut(fingerprints(docs, shingle).drop("text_hash"))
-    member = cut(_members(marked, F.min("doc_id"), radius))
+    member = cut(_members(marked, radius))
     named = salted_join(member, member.groupBy("root").agg(F.min("least").alias("component_id")), "root", "fp").select("fp", "component_id")
     return salted_join(marked, named, "fp", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """A row of docs for each component."""
-    marked = cut(fingerprints(docs, shingle))
-    return kept_rows(docs, _members(marked, F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")), radius))
+def _marks(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, fp (of the set of shingles) and band keys of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = column_buffer(batch.column(1))
+            for a, b in slices(offsets):
+                hashes, bounds = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                keys = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32), pa.array(band_keys(hashes, bounds).ravel().view(np.int64)))
+                columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(set_fingerprints(hashes, bounds).view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash(docs)).mapInArrow(run, "doc_id long, text_hash long, fp long, keys array<long>")
+
+
+def similar_links(docs: DataFrame, grouped: DataFrame, least: float = LEAST, width: int = WIDTH, group: int = GROUP) -> DataFrame:
+    """a, b: hashes of texts whose shingle sets are alike, enough of them that the same sets come out as from all links.
+
+    grouped has a row for each text: text_hash, fp, row (its least row's doc_id and text_hash) and root, its coarse group.
+    """
+    size = grouped.groupBy("root").count().where("count > 1").select("root", F.ceil(F.col("count") / group).cast("int").alias("blocks"))
+    dealt = salted_join(grouped, size, "root", "text_hash").select("text_hash", "fp", "row", "root", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    texts = docs.select(F.struct(docs["doc_id"].cast("long").alias("doc_id"), _text_hash(docs)).alias("row"), docs["text"].cast("string").alias("text"))
+    met = texts.join(dealt, "row").dropDuplicates(["text_hash"])
+    met = met.select("text_hash", "fp", "text", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "text_hash", "fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = {}, None
+
+        def flush() -> pa.RecordBatch:
+            node, fp = np.array(list(held), np.int64), np.array([f for f, _ in held.values()], np.int64).view(np.uint64)
+            pairs = np.array(joined_by_similarity([s for _, s in held.values()], fp, least, FILTER), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
+
+        for batch in batches:
+            shard, node, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            raw, offsets = column_buffer(batch.column(3))
+            for a, b in slices(offsets):
+                hashes, bounds = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                for k in range(a, b):
+                    if shard[k] != now and held:
+                        yield flush()
+                        held = {}
+                    now = shard[k]
+                    held[node[k]] = fp[k], hashes[bounds[k - a] : bounds[k - a + 1]]
+        if held:
+            yield flush()
+
+    return met.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+
+
+def coarse_groups(marked: DataFrame) -> DataFrame:
+    """text_hash, fp, row, least, root of every text: texts whose fingerprints are linked within FILTER share a root."""
+    per_row = marked.groupBy("text_hash", "fp", "doc_id").agg(F.count("*").alias("n"))
+    least = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash", "n")
+    texts = per_row.groupBy("text_hash", "fp").agg(F.min(least).alias("least"))
+    keyed = marked.select("fp", F.explode("keys").alias("key")).distinct()
+    found = components(_linked(keyed, FILTER))
+    return texts.join(found, texts.fp == found.node, "left").select("text_hash", "fp", F.struct("least.doc_id", "least.text_hash").alias("row"), "least", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDTH, group: int = GROUP) -> DataFrame:
+    """A row of docs for each component of texts alike by least in their sets of width-word shingles."""
+    grouped = cut(coarse_groups(cut(_marks(docs, width))))
+    found = components(similar_links(docs, grouped, least, width, group))
+    member = grouped.drop("root").join(found, grouped.text_hash == found.node, "left")
+    return kept_rows(docs, member.select("least", F.coalesce("root", "text_hash").alias("root")))
 
 
 def kept_rows(docs: DataFrame, member: DataFrame) -> DataFrame:
-    """The row of docs that is the least of each root's members."""
-    kept = member.groupBy("root").agg(F.min("least").alias("row")).select(F.struct("row.doc_id", "row.text_hash").alias("kept")).distinct()
-    row = F.struct(docs["doc_id"].cast("long").alias("doc_id"), _text_hash(docs))
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), row.alias("row"))
-    return own.join(kept, own.row == kept.kept, "left_semi").dropDuplicates(["row"]).select("doc.*")
+    """The row of docs that is the least of each root's members; of rows alike in id and text that with the least hash of all columns."""
+    kept = member.groupBy("root").agg(F.min("least").alias("row")).select(F.struct("row.doc_id", "row.text_hash").alias("row"), "row.n")
+    row = F.struct(docs["doc_id"].cast("long").alias("doc_id"), _text_hash(docs)).alias("row")
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), row).join(kept, "row")
+    repeated = own.where("n > 1").groupBy("row").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return own.where("n = 1").select("doc.*").unionByName(repeated.select("doc.*"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sheetweave.llm import shingles
+from sheetweave.llm import simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -52,5 +52,6 @@ def test_large_groups_are_cut_into_blocks(spark):
     base = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join([*base[:k], f"x{k}", *base[k:]])) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    roots = lambda group: {(r.node, r.root) for r in shingles.components(shingles.links(docs, group=group)).collect()}
+    grouped = simhash.coarse_groups(simhash._marks(docs, 5))
+    roots = lambda group: {(r.node, r.root) for r in simhash.components(simhash.similar_links(docs, grouped, group=group)).collect()}
     assert roots(3) == roots(1000) and len(roots(3)) == 39  # all but the root itself
