@@ -4,19 +4,23 @@ A document's hash is the first 32 bits of its id's MD5. The directory starts at
 the byte limit splits on the next bit of the hash, others stay as they are. Sizes are added up once for prefixes some
 bits deeper than the mean shard needs, and the directory is worked out on that table, one row for each prefix, whatever
 the number of documents. A bucket that is still too large at that depth goes on bit by bit over its own rows. Where
-no bit is left (ids repeat, so that their hashes are the same), rows that are alike are counted and dealt to pages that
-hold the limit; a single text over the limit is a page of its own.
+no bit is left (ids repeat, so that their hashes are the same), rows are numbered within classes of sizes, each up to a
+power of two, and dealt to pages that hold the limit at the class's size; a single text over the limit is a page of its own.
 
-A shard is named by its bits (the empty string: the whole table) and, on such pages, "+" and the page's number. Bytes are
+A shard is named by its bits (the empty string: the whole table) and, on such pages, "+" with the class and the page's number. Bytes are
 those of the UTF-8 text; null and empty texts have none. Null ids hash like the empty string. An empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LIMIT, BITS, SPARE = 1 << 20, 32, 8
+#: Rows alike that one task writes out.
+STRETCH = 100_000
 
 
 def _bits(doc_id: Column) -> Column:
@@ -37,7 +41,8 @@ def directory(sizes: DataFrame, limit: int, first: int, last: int) -> tuple[Data
 
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, shard, depth of every row."""
-    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), _bits(F.col("doc_id")).alias("bits"))
+    # texts are read once: what follows goes over ids, sizes and bits
+    rows = cut(docs.select("doc_id", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), _bits(F.col("doc_id")).alias("bits")))
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first().n
     done, rest, first = None, rows, 0
     depth = min(BITS, max(0, (total // limit).bit_length()) + SPARE)
@@ -65,12 +70,20 @@ def _dealt(rows: DataFrame, found: DataFrame, first: int, last: int) -> DataFram
     return rows.join(shard_of, leaf == shard_of.leaf).select("doc_id", "n_bytes", "shard", F.length("shard").cast("long").alias("depth"))
 
 
-def _pages(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows that no bit parts: of n alike, as many to a page as fit; kinds of rows don't share a page."""
-    alike = rows.groupBy("bits", "doc_id", "n_bytes").count()
-    number = F.floor(F.col("k") / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1)))))
-    each = alike.select("bits", "doc_id", "n_bytes", F.explode(F.expr("sequence(0L, count - 1)")).alias("k"))
-    return each.select("doc_id", "n_bytes", F.concat_ws("+", "bits", "n_bytes", number).alias("shard"), F.lit(BITS).cast("long").alias("depth"))
+def _pages(rows: DataFrame, limit: int, stretch: int = STRETCH) -> DataFrame:
+    """Rows that no bit parts, numbered within a class of sizes (up to a power of two) and dealt to pages of as many as fit."""
+    alike = rows.groupBy("bits", "doc_id", "n_bytes").agg(F.count("*").alias("n"))
+    size = F.greatest(F.lit(1), F.col("n_bytes"))
+    alike = alike.withColumn("class", F.ceil(F.log2(size.cast("double"))).cast("int"))
+    before = Window.partitionBy("bits", "class").orderBy("n_bytes", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # many rows alike are written out by stretches, each by another task
+    parts = placed.select("bits", "doc_id", "n_bytes", "class", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(stretch).cast("long"))).alias("from"))
+    parts = parts.repartition(F.col("bits"), F.col("class"), F.col("first"), F.col("from"))
+    each = parts.select("bits", "doc_id", "n_bytes", "class", "first", F.explode(F.sequence(F.col("from"), F.least(F.col("n"), F.col("from") + stretch) - 1)).alias("k"))
+    fit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.pow(F.lit(2.0), F.col("class"))))
+    number = F.floor((F.col("first") + F.col("k")) / fit).cast("long")
+    return each.select("doc_id", "n_bytes", F.concat_ws("+", "bits", "class", number).alias("shard"), F.lit(BITS).cast("long").alias("depth"))
 
 
 SQL = f"""
