@@ -15,6 +15,7 @@ hash. Null ids come first. Columns other than doc_id and text are not read. An e
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -36,6 +37,7 @@ from .pieces import library, text_blocks
 TOKENIZER, END = "word_bpe_49k.json", 1
 SCALE, LOW = 20, np.uint64(1 << 31)
 LANES, BLOCK_IDS, CHECKPOINT = 2048, 1 << 19, 128
+IDS = 1 << 16
 _HEAD = struct.Struct("<4sIIIII")
 
 
@@ -100,22 +102,48 @@ class WordEncoder(dict):
         return [b"".join(map(get, text.split(" "))) for text in texts]
 
 
+class PlainEncoder:
+    """Ids of whole texts as int32 by the library alone, for tokenizers with other normal forms or patterns."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+#: The normaliser and pre-tokeniser of which spaced(), _PLAIN and _PIECES make use.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
 @lru_cache(2)
-def token_encoder(path: str) -> WordEncoder:
+def token_encoder(path: str) -> WordEncoder | PlainEncoder:
+    """The encoder of a tokenizer file: by words where its rules are those above, else by the library as it is."""
     tokenizer = library().Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return WordEncoder(tokenizer)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    rules = json.loads(tokenizer.to_str())
+    if max(tokenizer.get_vocab().values(), default=0) >= IDS:
+        raise ValueError(f"files hold ids below {IDS}")
+    known = rules["normalizer"] == _NORMAL and rules["pre_tokenizer"] == _SPLIT and rules["model"]["type"] == "BPE"
+    return WordEncoder(tokenizer) if known else PlainEncoder(tokenizer)
 
 
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (two bytes each where all fit, else four), n of each row."""
+    """doc_id, ids of each row, two bytes an id; a tokenizer with ids that need more raises an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = token_encoder(path or vocabulary_path(TOKENIZER))
         end = np.array([END], np.int32).tobytes()
+        shape = spaced if isinstance(encoder, WordEncoder) else str
         for batch in batches:
             for at, block in text_blocks(batch.column(1)):
-                found = [np.frombuffer(e + end, np.int32).astype(np.uint16).tobytes() for e in encoder.encode([spaced(t) for t in block])]
+                found = [np.frombuffer(e + end, np.int32).astype(np.uint16).tobytes() for e in encoder.encode([shape(t) for t in block])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array(found, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
@@ -178,21 +206,25 @@ class Coder:
         width = 4 + 8 * lanes
         stream = np.frombuffer(body, np.uint32, offset=marks * width)
         last = marks if last is None else last
-        out = []
-        for k in range(first, last):
-            at = struct.unpack_from("<I", body, k * width)[0]
-            state = np.frombuffer(body, np.uint64, lanes, offset=k * width + 4).copy()
-            for s in range(k * CHECKPOINT, min((k + 1) * CHECKPOINT, -(-n // lanes))):
-                x = state[: min(lanes, n - s * lanes)]
-                slot = x & np.uint64((1 << SCALE) - 1)
-                ids = self.symbol[slot]
-                out.append(ids)
-                x = self.freq[ids] * (x >> np.uint64(SCALE)) + slot - self.start[ids]
-                low = np.flatnonzero(x < LOW)
-                x[low] = (x[low] << np.uint64(32)) | stream[at : at + len(low)]
-                at += len(low)
-                state[: len(x)] = x
-        ids = np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4")
+        # the stretches are decoded side by side, each from its own checkpoint
+        at = np.array([struct.unpack_from("<I", body, k * width)[0] for k in range(first, last)], np.int64)
+        state = np.array([np.frombuffer(body, np.uint64, lanes, offset=k * width + 4) for k in range(first, last)], np.uint64).reshape(-1, lanes)
+        out = np.zeros((last - first, CHECKPOINT, lanes), self.symbol.dtype)
+        left = n - (np.arange(first, last) * CHECKPOINT * lanes)
+        for s in range(CHECKPOINT):
+            live = np.arange(lanes) < (left - s * lanes)[:, None]
+            if not live.any():
+                break
+            slot = state & np.uint64((1 << SCALE) - 1)
+            ids = self.symbol[slot]
+            out[:, s] = ids
+            x = self.freq[ids] * (state >> np.uint64(SCALE)) + slot - self.start[ids]
+            low = (x < LOW) & live
+            place = at[:, None] + np.cumsum(low, axis=1) - 1
+            x[low] = (x[low] << np.uint64(32)) | stream[place[low]]
+            at += low.sum(axis=1)
+            state = np.where(live, x, state)
+        ids = out.ravel()[: max(0, min(n, last * CHECKPOINT * lanes) - first * CHECKPOINT * lanes)].astype("<u4")
         if (first, last) == (0, marks) and zlib.crc32(ids.tobytes()) != ids_crc:
             raise ValueError("a block's token ids differ from those written")
         return ids
@@ -208,16 +240,16 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     ids = spark.read.parquet(f"{folder}/ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(IDS, np.int64)
         for batch in batches:
             column = batch.column(0)
             ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-            total += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16), minlength=1 << 16)
+            total += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16), minlength=IDS)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["id", "n"])
 
     counted = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << 16, np.int64)
+    counts = np.zeros(IDS, np.int64)
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
     freq = frequencies(counts)
     used = np.flatnonzero(freq)
@@ -254,7 +286,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids of each document in the files."""
     blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks")
     table = spark.read.parquet(f"{folder}/frequencies").toPandas()  # at most as many rows as there are ids
-    freq = np.zeros(1 << 16, np.int64)
+    freq = np.zeros(IDS, np.int64)
     freq[table["id"].to_numpy()] = table["frequency"].to_numpy()
     shared = spark.sparkContext.broadcast(freq)
     # a row for each file: where its ids begin
