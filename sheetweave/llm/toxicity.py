@@ -8,7 +8,8 @@ width reads; everything is then trained together.
 
 Null and empty texts have no window: all maxima are zero and they get the score of the bias. Repeated rows are scored
 each. Without labels of both classes the score is a half less a margin (nothing is rejected). Columns other than doc_id
-and text are not read. The fit uses at most PER_CLASS labelled texts of each class; every text is scored whole.
+and text are not read. An empty table gives an empty result. The fit uses at most PER_CLASS labelled texts of each class and
+16 MB of them; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -74,12 +75,16 @@ class Model:
         ids = np.zeros(int(sizes.sum()) + pad, np.int64)
         ids[np.arange(len(hashes)) + np.repeat(starts - bounds[:-1], np.diff(bounds))] = _ids(hashes)
         x = self.table[ids]
+        # a window begins at a word; behind a text's end there is none, so no text reads the next one's words
+        behind = ((starts + sizes - pad - 1)[:, None] + np.arange(pad + 1)).ravel()
         values = []
         for width, w, b in zip(WIDTHS, self.filters, self.bias, strict=True):
             out = x[: len(x) - pad] @ w[0]
             for j in range(1, width):
                 out += x[j : len(x) - pad + j] @ w[j]
-            values.append(np.maximum(out + b, 0))
+            out = np.maximum(out + b, 0)
+            out[behind] = 0
+            values.append(out)
         maxima = np.concatenate([np.maximum.reduceat(v, starts, axis=0) for v in values], axis=1) if n else np.zeros((0, len(self.out)), np.float32)
         return maxima, ids, starts, values
 
