@@ -6,7 +6,8 @@ are ordinary text. Decoding reverses the byte table and gives back the exact byt
 token that holds only a part of a character counts as lying on that whole character.
 
 Null texts are encoded as empty ones; both give an empty list. Repeated rows are encoded each. Very long texts are
-encoded whole. Columns other than the id and the text are not read, whatever their names.
+encoded whole. Columns other than the id and the text are not read, whatever their names. An empty table gives an empty
+result. Where several pairs of tokens could be joined next, the pair of least rank is, the leftmost first.
 """
 
 from __future__ import annotations

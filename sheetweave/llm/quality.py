@@ -6,8 +6,8 @@ coordinate descent, and its margin is mapped to a probability by a logistic curv
 model did not see.
 
 Null and empty texts have no n-gram and get the score of the bias. Repeated rows are scored each. Without labels of both
-classes every score is a half (nothing is rejected). Columns other than doc_id and text are not read. The fit uses at
-most PER_CLASS labelled texts of each class; every text is scored whole.
+classes every score is a half (nothing is rejected). An empty table gives an empty result. Columns other than doc_id and
+text are not read. The fit uses at most PER_CLASS labelled texts of each class and 16 MB of them; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def ngram_features(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     inside = ~_SPACE[raw]
     starts, bounds = runs(inside, offsets)
     if not len(starts):
-        return [np.zeros(0, np.int64)] * n
+        return [np.zeros(0, np.int32)] * n
     low, at = lowered(raw), starts - starts[0]
     count = lambda mask: np.add.reduceat((mask & inside)[starts[0] :].astype(np.int32), at)
     word = _WORD[raw]
@@ -43,12 +43,12 @@ def ngram_features(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     case = (count(upper) > 0) + 2 * (count(lower) > 0)
     shape = mix(signs + (case + 4 * (count(digit) > 0) + 8 * (count(word) == 0) + 16 * same).astype(U64) + U64(1))
     out = []
-    marks = np.zeros(DIM, np.int64)
+    marks = np.zeros(DIM, np.int32)
     grams = [(shape, 11), (words, 12)]
     for values, salt in ((shape, 13), (words, 14)):
         grams.append((mix(values[:-1] * U64(3) + values[1:]), salt))
     grams.append((mix(mix(shape[:-2] * U64(3) + shape[1:-1]) * U64(5) + shape[2:]) if len(shape) > 2 else shape[:0], 15))
-    grams = [(mix(v ^ U64(salt * 0x9E3779B1)) % U64(DIM)).astype(np.int64) for v, salt in grams]
+    grams = [(mix(v ^ U64(salt * 0x9E3779B1)) % U64(DIM)).astype(np.int32) for v, salt in grams]
     spans = (1, 1, 2, 2, 3)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         own = np.concatenate([g[a : max(a, b - span + 1)] for g, span in zip(grams, spans, strict=True)])
@@ -87,7 +87,7 @@ def dual_coordinate_descent(features: list[np.ndarray], scale: np.ndarray, y: np
     cost = np.where(y == 1, COST * len(y) / (2 * max(1, (y == 1).sum())), COST * len(y) / (2 * max(1, (y == 0).sum())))
     own = [f[scale[f] != 0] for f in features]
     size = [max(1.0, float(np.sqrt((scale[f] ** 2).sum()))) for f in own]
-    values = [scale[f] / s for f, s in zip(own, size, strict=True)]
+    values = [(scale[f] / s).astype(np.float32) for f, s in zip(own, size, strict=True)]
     w, bias, alpha = np.zeros(DIM), 0.0, np.zeros(len(y))
     square = np.array([float(v @ v) + 1 for v in values])
     for _ in range(EPOCHS):
