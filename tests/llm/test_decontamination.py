@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from sheetweave.llm import decontamination
 
 
@@ -13,9 +15,16 @@ def test_masks_lose_no_pattern_of_substitutions():
 
 
 def by_alignments(doc, item):
+    """First and last word and the fewest mismatches over all alignments of stretches of the item with the document."""
     w = min(15, len(item))
-    found = [(shift + s, bad) for shift in range(-len(item), len(doc)) for s in range(len(item) - w + 1) if 0 <= shift + s <= len(doc) - w and (bad := sum(item[s + j] != doc[shift + s + j] for j in range(w))) <= w // 5]
-    return (min(a for a, _ in found), max(a for a, _ in found) + w - 1, min(b for _, b in found)) if found else None
+    if not item or len(doc) < w:
+        return None
+    most = w // 5 if len(item) >= 12 else 0  # short items must be whole
+    alike = np.array(item)[:, None] == np.array(doc)[None, :]
+    m, n = len(item) - w + 1, len(doc) - w + 1
+    bad = w - sum(alike[j : j + m, j : j + n].astype(int) for j in range(w))
+    at = np.nonzero(bad <= most)[1]
+    return (int(at.min()), int(at.max()) + w - 1, int(bad.min())) if len(at) else None
 
 
 def test_overlaps_match_all_alignments(spark):
