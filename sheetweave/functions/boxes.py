@@ -152,20 +152,19 @@ def safe_name(name: Column) -> Column:
 
 
 def safe_filename_part(text: Column, fallback: str = "image") -> Column:
-    out = F.regexp_replace(F.regexp_replace(text, r"[^0-9A-Za-z가-힣_.()\-]+", "_"), r"^_+|_+$", "")
+    """An image's name for a file: colons and slashes one by one, runs of other characters as one underscore."""
+    out = F.regexp_replace(F.translate(text, ":/\\", "___"), r"[^0-9A-Za-z가-힣_.()\-]+", "_")
+    out = F.trim(out, F.lit("_"))
     return F.when(out == "", fallback).otherwise(out)
 
 
+#: Suffixes that an image keeps.
+SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".tif", ".tiff")
+
+
 def image_extension(media: Column, data: Column) -> Column:
-    suffix, magic = F.lower(F.regexp_extract(media, r"(\.[^./\\]+)$", 1)), F.hex(F.substring(data, 1, 12))
+    suffix, magic = F.lower(F.regexp_extract(media, r"(\.[^./\\]+)$", 1)), F.hex(F.substring(data, 1, 16))
     return (
-        F.when(suffix != "", suffix).when(magic.startswith("89504E470D0A1A0A"), ".png").when(magic.startswith("FFD8FF"), ".jpg").when(magic.startswith("474946383"), ".gif")
-        .when(magic.startswith("424D"), ".bmp").when(magic.startswith("52494646") & magic.endswith("57454250"), ".webp").otherwise(".bin")
+        F.when(suffix.isin(*SUFFIXES), suffix).when(magic.startswith("89504E47"), ".png").when(magic.startswith("FFD8"), ".jpg").when(magic.startswith("474946"), ".gif")
+        .when(magic.startswith("52494646") & (F.instr(magic, "57454250") > 0), ".webp").otherwise(".bin")
     )
-
-
-def hex_to_rgb(value: Column) -> Column:
-    """Red, green, blue of RGB or ARGB hex digits; null else."""
-    six = F.right(value, F.lit(6))
-    channel = lambda k: F.conv(F.substring(six, k, 2), 16, 10).cast("int")
-    return F.when(value.rlike("^([0-9A-Fa-f]{2})?[0-9A-Fa-f]{6}$"), F.array(channel(1), channel(3), channel(5)))

@@ -7,29 +7,35 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import KEY, SIDES, Box, has_style
 from .components import edge_components, pair_components
-from .occupancy import clip_boxes, on_sheet, visible_cells, within
+from .occupancy import meeting_pairs, on_sheet, visible_cells, within
+
+
+def cell_sides(cells: DataFrame, strong: bool = False) -> DataFrame:
+    """workbook, sheet, side, row, col of every styled side of a cell."""
+    sides = F.array(*(F.struct(F.lit(name).alias("side"), F.col(name).alias("style")) for name in ("top", "bottom", "left", "right")))
+    every = cells.select(*KEY, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.explode(sides).alias("e"))
+    return every.where(has_style(F.col("e.style"), strong)).select(*KEY, "e.side", "row", "col").distinct()
+
+
+def edges_of_sides(sides: DataFrame) -> DataFrame:
+    """kind, a, b of each cell's side: ("h", line, col) above row line, ("v", row, line) left of column line."""
+    across = F.col("side").isin("top", "bottom")
+    return sides.select(*KEY, F.when(across, "h").otherwise("v").alias("kind"), (F.col("row") + (F.col("side") == "bottom").cast("int")).alias("a"), (F.col("col") + (F.col("side") == "right").cast("int")).alias("b"))
 
 
 def border_edges(cells: DataFrame, merges: DataFrame | None, bounds: DataFrame, strong: bool = False, hidden: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Canonical edges: ("h", line, col) above row line, ("v", row, line) left of column line.
+    """Edges of the styled sides of visible cells within the bounds.
 
-    A merged range that meets the bounds also has the styled outer sides of its edge cells, beyond the bounds too.
+    A merged range that meets the bounds also has the styled outer sides of its edge cells, beyond the bounds too: its
+    outline is written out and joined to the cells' sides cell by cell.
     """
-    sides = F.array(
-        F.struct(F.col("top").alias("style"), F.lit("h").alias("kind"), F.col("row").alias("a"), F.col("col").alias("b")),
-        F.struct(F.col("bottom").alias("style"), F.lit("h").alias("kind"), (F.col("row") + 1).alias("a"), F.col("col").alias("b")),
-        F.struct(F.col("left").alias("style"), F.lit("v").alias("kind"), F.col("row").alias("a"), F.col("col").alias("b")),
-        F.struct(F.col("right").alias("style"), F.lit("v").alias("kind"), F.col("row").alias("a"), (F.col("col") + 1).alias("b")),
-    )
-    unpivot = lambda df: df.select(*KEY, "row", "col", F.explode(sides).alias("e")).where(has_style(F.col("e.style"), strong)).select(*KEY, "row", "col", "e.kind", "e.a", "e.b")
-    seen = within(cells, bounds)
-    out = unpivot(visible_cells(seen, *hidden) if hidden else seen).select(*KEY, "kind", "a", "b")
+    seen = visible_cells(cells, *hidden) if hidden else cells
+    out = edges_of_sides(cell_sides(within(seen, bounds), strong))
     if merges is not None:
         b = bounds.select(*KEY, *(F.col(s).alias("b_" + s) for s in SIDES))
         near = merges.select(*KEY, *SIDES).distinct().join(b, [*KEY]).where(Box().intersects(Box("b_"))).select(*KEY, *SIDES)
-        edges = unpivot(cells).join(near, [*KEY]).where(Box().contains_cell(F.col("row"), F.col("col")))
-        outer = F.when(F.col("kind") == "h", F.col("a").isin(F.col("r0"), F.col("r1") + 1)).otherwise(F.col("b").isin(F.col("c0"), F.col("c1") + 1))
-        out = out.unionByName(edges.where(outer).select(*KEY, "kind", "a", "b"))
+        outer = outline_cells(near).select(*KEY, "side", "row", "col").distinct()
+        out = out.unionByName(edges_of_sides(cell_sides(seen, strong).join(outer, [*KEY, "side", "row", "col"], "left_semi")))
     return out.distinct()
 
 
@@ -43,6 +49,12 @@ def perimeter(boxes: DataFrame, tolerance: int = 0) -> DataFrame:
     return boxes.select("*", F.explode(every).alias("e")).select(*boxes.columns, "e.*")
 
 
+def outline_cells(boxes: DataFrame) -> DataFrame:
+    """perimeter(), with the row and col of the box's own cell that has the side."""
+    lines = perimeter(boxes)
+    return lines.withColumn("row", F.col("a") - (F.col("side") == "bottom").cast("int")).withColumn("col", F.col("b") - (F.col("side") == "right").cast("int"))
+
+
 def expand_to_shells(boxes: DataFrame, shells: DataFrame, cfg) -> DataFrame:
     """Boxes after growing, in the order of the shells' first cells, to each shell that suits what they have grown to."""
     listed = shells.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label_row", "label_col", *SIDES))).alias("shells"))
@@ -68,9 +80,9 @@ def contact_pairs(boxes: DataFrame, edges: DataFrame, cfg) -> DataFrame:
     """a, b: nodes of boxes that touch the same border component and are neighbours."""
     touched = touched_components(boxes, edges, cfg).where(F.col("n_sides") >= cfg.border_contact_min_touched_sides)
     placed = touched.join(boxes.select(*KEY, "node", *SIDES), [*KEY, "node"]).select(*KEY, "component", "node", *SIDES)
-    other = placed.select(*KEY, "component", F.col("node").alias("o_node"), *(F.col(s).alias("o_" + s) for s in SIDES))
     near = Box().contact_neighbour(Box("o_"), cfg.border_contact_merge_max_gap, cfg.border_contact_merge_min_axis_overlap)
-    return placed.join(other, [*KEY, "component"]).where((F.col("node") < F.col("o_node")) & near).select(*KEY, F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    met = meeting_pairs(placed, "node", cfg.border_contact_merge_max_gap, ["component"]).where(near)
+    return met.select(*KEY, F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
 
 
 def merge_by_contact(boxes: DataFrame, edges: DataFrame, cfg) -> DataFrame:
@@ -86,8 +98,8 @@ def merge_by_contact(boxes: DataFrame, edges: DataFrame, cfg) -> DataFrame:
     return fits.select(*KEY, *SIDES).unionByName(whole.select(*KEY, *SIDES)).distinct()
 
 
-def has_closed_border(boxes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Boxes whose whole outline is drawn."""
-    lines = perimeter(boxes.select(*KEY, *SIDES).distinct())
-    drawn = lines.join(edges, [*KEY, "kind", "a", "b"]).groupBy(*KEY, *SIDES).count()
+def has_closed_border(boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Boxes whose whole outline is drawn by their own cells; lines of cells beside a box don't count."""
+    lines = outline_cells(boxes.select(*KEY, *SIDES).distinct())
+    drawn = lines.join(cell_sides(cells), [*KEY, "side", "row", "col"]).groupBy(*KEY, *SIDES).count()
     return drawn.where(F.col("count") == 2 * (Box().height + Box().width)).select(*KEY, *SIDES)

@@ -40,6 +40,14 @@ def box_cells(boxes: DataFrame) -> DataFrame:
     return rows.select(*KEY, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
+def edge_cells(boxes: DataFrame) -> DataFrame:
+    """The boxes with row and col of each cell on their edge."""
+    at = lambda r, c: F.struct(r.alias("row"), c.alias("col"))
+    across = F.transform(F.sequence("c0", "c1"), lambda k: F.array(at(F.col("r0"), k), at(F.col("r1"), k)))
+    down = F.transform(F.sequence("r0", "r1"), lambda k: F.array(at(k, F.col("c0")), at(k, F.col("c1"))))
+    return boxes.select(*KEY, *SIDES, F.explode(F.flatten(F.concat(across, down))).alias("_x")).select(*KEY, *SIDES, "_x.*")
+
+
 def visible_boxes(boxes: DataFrame, hidden_rows: DataFrame, hidden_cols: DataFrame) -> DataFrame:
     """Boxes shrunk to their visible rows and columns; boxes with none are dropped. One axis at a time, not cell by cell."""
     out = boxes.withColumn("_id", F.xxhash64(*KEY, *SIDES))
@@ -114,7 +122,7 @@ def border_occupied_cells(cells: DataFrame, merges: DataFrame, bounds: DataFrame
     out = within(bordered, bounds)
     if cfg.include_merged_cells:
         m = merges.select(*KEY, *SIDES).distinct()
-        touched = m.join(bordered, [*KEY]).where(Box().contains_cell(F.col("row"), F.col("col")) & (F.col("row").isin(F.col("r0"), F.col("r1")) | F.col("col").isin(F.col("c0"), F.col("c1"))))
+        touched = edge_cells(m).join(bordered, [*KEY, "row", "col"], "left_semi")
         out = out.unionByName(box_cells(clip_boxes(touched.select(*KEY, *SIDES).distinct(), bounds))).distinct()
     return visible_cells(out, *hidden) if cfg.respect_hidden_rows_cols and hidden else out
 
@@ -125,7 +133,52 @@ def dedupe_boxes(boxes: DataFrame, order: str) -> DataFrame:
     return boxes.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+#: Sizes of tiles are powers of two up to the longest side that the format allows.
+LEVELS = MAX_ROW.bit_length()
+
+
+def without_holders(boxes: DataFrame, holders: DataFrame, more, also: list[str] | None = None) -> DataFrame:
+    """Boxes that no holder of the same sheet (and of the same also columns) contains under more(box, holder).
+
+    A holder is written to the tiles of its own size that it covers, four at most; a box looks its first cell's tile of
+    each size up, so boxes meet those near them and not all of a sheet.
+    """
+    same = [*KEY, *(also or [])]
+    level = F.ceil(F.log2(F.greatest(Box().height, Box().width).cast("double"))).cast("int")
+    tile = lambda x: F.expr(f"shiftright({x}, _level)")
+    held = holders.select(*same, *SIDES).distinct().withColumn("_level", level)
+    held = held.select("*", F.explode(F.sequence(tile("r0"), tile("r1"))).alias("_tr")).select("*", F.explode(F.sequence(tile("c0"), tile("c1"))).alias("_tc"))
+    held = held.select(*same, "_level", "_tr", "_tc", *(F.col(s).alias("_h_" + s) for s in SIDES))
+    asked = boxes.select(*same, *SIDES).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level"))
+    asked = asked.withColumn("_tr", tile("r0")).withColumn("_tc", tile("c0"))
+    found = asked.join(held, [*same, "_level", "_tr", "_tc"]).where(Box("_h_").contains(Box()) & more(Box(), Box("_h_")))
+    return boxes.join(found.select(*same, *SIDES).distinct(), [*same, *SIDES], "left_anti").select(*boxes.columns)
+
+
+def meeting_pairs(boxes: DataFrame, name: str, gap: int = 0, also: list[str] | None = None) -> DataFrame:
+    """Pairs of boxes of a sheet that meet, or would if one were larger by gap on all sides: name < o_<name>, sides under "" and "o_".
+
+    Each pair is found in the tiles of the larger box's size, so its cost follows the boxes that lie near each other.
+    """
+    same, edge = [*KEY, *(also or [])], gap + 1 if gap else 0
+    grown = [F.greatest(F.lit(1), F.col("r0") - edge), F.greatest(F.lit(1), F.col("c0") - edge), F.col("r1") + edge, F.col("c1") + edge]
+    own = boxes.select(*same, name, *SIDES, *(x.cast("int").alias("_g_" + s) for s, x in zip(SIDES, grown, strict=True)))
+    own = own.withColumn("_own", F.ceil(F.log2(F.greatest(Box("_g_").height, Box("_g_").width).cast("double"))).cast("int"))
+    tile = lambda x: F.expr(f"shiftright({x}, _level)")
+    tiled = lambda df: df.select("*", F.explode(F.sequence(tile("_g_r0"), tile("_g_r1"))).alias("_tr")).select("*", F.explode(F.sequence(tile("_g_c0"), tile("_g_c1"))).alias("_tc"))
+    large = tiled(own.withColumn("_level", F.col("_own"))).select(*same, "_level", "_tr", "_tc", F.col(name).alias("o_" + name), *(F.col(s).alias("o_" + s) for s in SIDES), *(F.col("_g_" + s).alias("_h_" + s) for s in SIDES))
+    small = tiled(own.select("*", F.explode(F.sequence(F.col("_own"), F.lit(LEVELS))).alias("_level")))
+    both = Box("_g_").clip(Box("_h_"))
+    # a pair counts in one tile only: that of the first cell that both cover; of equal sizes, from the smaller name
+    once = (F.expr("shiftright(greatest(_g_r0, _h_r0), _level)") == F.col("_tr")) & (F.expr("shiftright(greatest(_g_c0, _h_c0), _level)") == F.col("_tc"))
+    first = (F.col("_own") < F.col("_level")) | (F.col(name) < F.col("o_" + name))
+    found = small.join(large, [*same, "_level", "_tr", "_tc"]).where(both.valid & once & first & (F.col(name) != F.col("o_" + name)))
+    swap = F.col(name) > F.col("o_" + name)
+    side = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    names = [name, *SIDES]
+    return found.select(*same, *(side(n, "o_" + n).alias(n) for n in names), *(side("o_" + n, n).alias("o_" + n) for n in names))
+
+
 def remove_contained(boxes: DataFrame) -> DataFrame:
     """Boxes that no larger box of the sheet contains."""
-    a, b = boxes.alias("a"), boxes.select(*KEY, *SIDES).distinct().alias("b")
-    return a.join(b, on_sheet("a", "b") & Box("b.").contains(Box("a.")) & (Box("b.").area > Box("a.").area), "left_anti")
+    return without_holders(boxes, boxes, lambda held, holder: holder.area > held.area)

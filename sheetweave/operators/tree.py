@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import KEY, SIDES, Box, has_style
-from .borders import border_edges, has_closed_border
+from .borders import has_closed_border
 from .components import component_boxes
-from .occupancy import on_sheet
+from .occupancy import without_holders
 
 
 def root_boxes(boxes: DataFrame) -> DataFrame:
     """Boxes that no other, different box of the sheet contains."""
     own = boxes.select(*KEY, *SIDES).distinct()
-    a, b = own.alias("a"), own.alias("b")
-    return a.join(b, on_sheet("a", "b") & ~Box("a.").same(Box("b.")) & Box("b.").contains(Box("a.")), "left_anti")
+    return without_holders(own, own, lambda held, holder: ~held.same(holder))
 
 
-def inner_tables(roots: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame:
+def inner_tables(roots: DataFrame, cells: DataFrame) -> DataFrame:
     """Closed tables strictly inside roots, with the root's sides as p_r0 to p_c1.
 
     Cells below a root's first row with both horizontal and vertical borders are grouped by 4 neighbours, 4 cells at
-    least; each box may then take one row more, or else one column more, if that closes it. Nested ones are dropped.
+    least; each box may then take one row more, or else one column more, if that closes it. Nested ones are dropped. A
+    merged range draws no line of a box but by its own edge cells, so merges aren't needed.
     """
     style = lambda *names: sum((has_style(F.col(n), False).cast("int") for n in names), F.lit(0)) > 0
     grid = cells.where(style("top", "bottom") & style("left", "right")).select(*KEY, "row", "col")
@@ -38,23 +38,20 @@ def inner_tables(roots: DataFrame, cells: DataFrame, merges: DataFrame) -> DataF
         F.struct("r0", "c0", F.least(F.col("p_r1"), F.col("r1") + 1).alias("r1"), "c1"),
         F.struct("r0", "c0", "r1", F.least(F.col("p_c1"), F.col("c1") + 1).alias("c1")),
     )).alias("n", "t")).select("*", "t.*").drop("t")
-    edges = border_edges(cells, merges, roots.select(*KEY, *SIDES).distinct(), False)
-    closed = has_closed_border(tried, edges).withColumn("closed", F.lit(True))
+    closed = has_closed_border(tried, cells).withColumn("closed", F.lit(True))
     # a try equal to the box itself changes nothing; of two that close it the later counts; the box stays if none does
     order = F.struct((F.coalesce("closed", F.lit(False)) & ((F.col("n") == 0) | ~F.struct(*SIDES).eqNullSafe(F.col("own")))).alias("ok"), F.col("n"))
     best = tried.join(closed, [*KEY, *SIDES], "left").groupBy(*KEY, *("p_" + s for s in SIDES), "own").agg(F.max_by(F.struct(*SIDES, F.coalesce("closed", F.lit(False)).alias("closed")), order).alias("t"))
     picked = best.select(*KEY, *("p_" + s for s in SIDES), "t.*")
     isolated = (Box().width >= 2) & (Box().height >= 2) & (F.col("r0") > F.col("p_r0")) & (F.col("c0") > F.col("p_c0")) & (F.col("r1") < F.col("p_r1")) & (F.col("c1") < F.col("p_c1"))
     kept = picked.where(F.col("closed") & isolated).drop("closed").distinct()
-    a, b = kept.alias("a"), kept.alias("b")
-    nested = on_sheet("a", "b") & Box("a.p_").same(Box("b.p_")) & ~Box("a.").same(Box("b.")) & Box("b.").contains(Box("a."))
-    return a.join(b, nested, "left_anti")
+    return without_holders(kept, kept, lambda held, holder: ~held.same(holder), also=[f"p_{s}" for s in SIDES])
 
 
-def region_tree(boxes: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame:
+def region_tree(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """workbook, sheet, range_ref, children (array of range_ref, by row and column), with sides for the order."""
     roots = root_boxes(boxes)
-    found = inner_tables(roots, cells, merges)
+    found = inner_tables(roots, cells)
     listed = found.groupBy(*KEY, *(F.col("p_" + s).alias(s) for s in SIDES)).agg(F.array_sort(F.collect_list(F.struct("r0", "c0", Box().range_ref.alias("range_ref")))).alias("c"))
     children = F.coalesce(F.transform("c", lambda x: x["range_ref"]), F.array().cast("array<string>"))
     return roots.join(listed, [*KEY, *SIDES], "left").select(*KEY, *SIDES, Box().range_ref.alias("range_ref"), children.alias("children"))

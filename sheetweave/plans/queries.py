@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.boxes import KEY, SIDES, Box, is_non_empty, local_range_ref, parse_range, safe_filename_part, safe_name
+from ..functions.boxes import KEY, SIDES, Box, image_extension, local_range_ref, parse_range, safe_filename_part, safe_name
 from ..operators import borders, components, drawings, occupancy, regions, snapshots, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,15 +25,19 @@ BASE = {
     "cells": f"SELECT 'wb' AS workbook, event_type AS sheet, CAST(user_id + 1 AS INT) AS r, CAST(day(ts) AS INT) AS c, CASE WHEN count(*) % 9 = 0 THEN '' ELSE CAST(count(*) AS STRING) END AS txt, {_SIDE_SQL} FROM {{events}} GROUP BY 1, 2, 3, 4",
     "merges": "SELECT DISTINCT 'wb' AS workbook, (SELECT min(event_type) FROM {events}) AS sheet, CAST(s_suppkey AS INT) AS r0, CAST(s_nationkey + 1 AS INT) AS c0, CAST(s_suppkey + s_suppkey % 3 AS INT) AS r1, CAST(s_nationkey + 2 AS INT) AS c1 FROM {supplier}",
     "boxes": "SELECT p_partkey AS id, 'wb' AS workbook, p_brand AS sheet, CAST(p_size AS INT) AS r0, CAST(p_partkey % 50 + 1 AS INT) AS c0, CAST(p_size + p_partkey % 7 AS INT) AS r1, CAST(p_partkey % 50 + 1 + (p_partkey + 3) % 5 AS INT) AS c1 FROM {part}",
+    "tables": """SELECT 'wb' AS workbook, q.sheet, CAST(3 + (q.i % 40) * 8 + y.n AS INT) AS r, CAST(3 + floor(q.i / 40) * 8 + x.n AS INT) AS c, 'x' AS txt,
+  CASE WHEN q.k % 5 > 0 OR y.n > 1 OR x.n > 1 THEN 'thin' END AS s0, 'thin' AS s1, 'thin' AS s2, CASE WHEN q.k % 7 > 0 OR y.n < q.h OR x.n < q.w THEN 'medium' END AS s3
+  FROM (SELECT p_partkey AS k, p_brand AS sheet, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, 2 + p_size % 4 AS h, 2 + p_partkey % 3 AS w FROM {part}) q
+  JOIN (SELECT DISTINCT CAST(l_linenumber AS INT) AS n FROM {lineitem}) y ON y.n <= q.h JOIN (SELECT DISTINCT CAST(l_linenumber AS INT) AS n FROM {lineitem}) x ON x.n <= q.w""",
 }
-_TABLES = ("events", "supplier", "part", "orders", "customer")
+_TABLES = ("events", "supplier", "part", "orders", "customer", "lineitem")
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = BASE[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if "{" + t + "}" in text}
     out = spark.sql(text, **used)
-    if name == "cells":
+    if name in ("cells", "tables"):
         out = out.select(*KEY, F.col("r").alias("row"), F.col("c").alias("col"), F.col("txt").alias("text"), F.col("s0").alias("top"), F.col("s1").alias("bottom"), F.col("s2").alias("left"), F.col("s3").alias("right"))
     return out
 
@@ -175,10 +179,9 @@ _PAIRS = "FROM boxes a JOIN boxes b ON a.sheet = b.sheet AND a.id < b.id"
 _AREA = "(greatest(0, least(a.r1, b.r1) - greatest(a.r0, b.r0) + 1)::BIGINT * greatest(0, least(a.c1, b.c1) - greatest(a.c0, b.c0) + 1))"
 
 
-def _pairs(spark, sf_dir) -> tuple[DataFrame, Box, Box]:
-    b = base(spark, sf_dir, "boxes")
-    other = b.select(*KEY, F.col("id").alias("o_id"), *(F.col(s).alias("o_" + s) for s in SIDES))
-    return b.join(other, [*KEY]).where("id < o_id"), Box(), Box("o_")
+def _pairs(spark, sf_dir, gap: int = 0) -> tuple[DataFrame, Box, Box]:
+    """Pairs of boxes that meet within the gap."""
+    return occupancy.meeting_pairs(base(spark, sf_dir, "boxes"), "id", gap), Box(), Box("o_")
 
 
 @query(_with("boxes") + f" SELECT a.id, b.id AS o_id, {_AREA} AS shared {_PAIRS} AND a.r0 <= b.r1 AND b.r0 <= a.r1 AND a.c0 <= b.c1 AND b.c0 <= a.c1")
@@ -196,10 +199,15 @@ def contains_pairs(spark, sf_dir):
 _OVER = "(greatest(0, least(a.{1}, b.{1}) - greatest(a.{0}, b.{0}) + 1)::DOUBLE / least(a.{1} - a.{0} + 1, b.{1} - b.{0} + 1))"
 
 
-@query(_with("boxes") + f" SELECT a.id, b.id AS o_id, {_OVER.format('r0', 'r1')} AS row_overlap, {_OVER.format('c0', 'c1')} AS col_overlap {_PAIRS} AND abs(a.r0 - b.r0) <= 4 AND abs(a.c0 - b.c0) <= 4")
+@query(_with("boxes") + f" SELECT a.id, b.id AS o_id, {_OVER.format('r0', 'r1')} AS row_overlap, {_OVER.format('c0', 'c1')} AS col_overlap {_PAIRS} AND (a.r0 <= b.r1 AND b.r0 <= a.r1 OR a.c0 <= b.c1 AND b.c0 <= a.c1)")
 def axis_overlap(spark, sf_dir):
-    df, a, b = _pairs(spark, sf_dir)
-    return df.where((F.abs(a.r0 - b.r0) <= 4) & (F.abs(a.c0 - b.c0) <= 4)).select("id", "o_id", a.axis_overlap(b, True).alias("row_overlap"), a.axis_overlap(b, False).alias("col_overlap"))
+    """All pairs that share a row or a column: they meet once the other axis is left out."""
+    boxes = base(spark, sf_dir, "boxes")
+    flat = lambda lo, hi: occupancy.meeting_pairs(boxes.withColumn(lo, F.lit(1)).withColumn(hi, F.lit(1)), "id").select("id", "o_id")
+    met = flat("c0", "c1").union(flat("r0", "r1")).distinct()
+    side = lambda name, p: boxes.select(F.col("id").alias(name), *(F.col(s).alias(p + s) for s in SIDES))
+    df, a, b = met.join(side("id", ""), "id").join(side("o_id", "o_"), "o_id"), Box(), Box("o_")
+    return df.select("id", "o_id", a.axis_overlap(b, True).alias("row_overlap"), a.axis_overlap(b, False).alias("col_overlap"))
 
 
 _CONTAIN = "(a.r0 <= b.r0 AND a.c0 <= b.c0 AND a.r1 >= b.r1 AND a.c1 >= b.c1) OR (b.r0 <= a.r0 AND b.c0 <= a.c0 AND b.r1 >= a.r1 AND b.c1 >= a.c1)"
@@ -209,7 +217,7 @@ _CONTAIN = "(a.r0 <= b.r0 AND a.c0 <= b.c0 AND a.r1 >= b.r1 AND a.c1 >= b.c1) OR
   WHEN greatest(b.r0 - a.r1, a.r0 - b.r1) > 0 THEN greatest(b.r0 - a.r1, a.r0 - b.r1) - 1 <= 1 AND {_OVER.format('c0', 'c1')} >= 0.8
   WHEN greatest(b.c0 - a.c1, a.c0 - b.c1) > 0 THEN greatest(b.c0 - a.c1, a.c0 - b.c1) - 1 <= 1 AND {_OVER.format('r0', 'r1')} >= 0.8 ELSE true END""")
 def contact_neighbours(spark, sf_dir):
-    df, a, b = _pairs(spark, sf_dir)
+    df, a, b = _pairs(spark, sf_dir, 1)
     return df.where(a.contact_neighbour(b, 1, 0.8)).select("id", "o_id")
 
 
@@ -244,23 +252,45 @@ def border_occupied(spark, sf_dir):
     return out.select("sheet", F.col("row").alias("row_no"), F.col("col").alias("col_no"))
 
 
-_EDGES_SQL = f"""{_BOUNDS_SQL}, inb AS (SELECT k.* FROM cells k JOIN b ON b.sheet = k.sheet AND k.r BETWEEN b.r0 AND b.r1 AND k.c BETWEEN b.c0 AND b.c1),
-e AS (SELECT sheet, 'h' AS kind, r AS a, c AS b FROM inb WHERE s0 IS NOT NULL UNION SELECT sheet, 'h', r + 1, c FROM inb WHERE s1 IS NOT NULL
-  UNION SELECT sheet, 'v', r, c FROM inb WHERE s2 IS NOT NULL UNION SELECT sheet, 'v', r, c + 1 FROM inb WHERE s3 IS NOT NULL)"""
+_SIDES_SQL = "sd AS (SELECT sheet, 'top' AS side, r, c FROM cells WHERE s0 IS NOT NULL UNION ALL SELECT sheet, 'bottom', r, c FROM cells WHERE s1 IS NOT NULL UNION ALL SELECT sheet, 'left', r, c FROM cells WHERE s2 IS NOT NULL UNION ALL SELECT sheet, 'right', r, c FROM cells WHERE s3 IS NOT NULL)"
+_EDGES_SQL = f"""{_BOUNDS_SQL}, {_SIDES_SQL}, nm AS (SELECT DISTINCT m.sheet, m.r0, m.c0, m.r1, m.c1 FROM merges m JOIN b ON b.sheet = m.sheet AND m.r0 <= b.r1 AND b.r0 <= m.r1 AND m.c0 <= b.c1 AND b.c0 <= m.c1),
+es AS (SELECT sd.* FROM sd JOIN b ON b.sheet = sd.sheet AND r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1
+  UNION SELECT sd.* FROM sd JOIN nm ON nm.sheet = sd.sheet AND r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1 AND CASE side WHEN 'top' THEN r = r0 WHEN 'bottom' THEN r = r1 WHEN 'left' THEN c = c0 ELSE c = c1 END),
+e AS (SELECT DISTINCT sheet, CASE WHEN side IN ('top', 'bottom') THEN 'h' ELSE 'v' END AS kind, (r + CASE side WHEN 'bottom' THEN 1 ELSE 0 END)::INT AS a, (c + CASE side WHEN 'right' THEN 1 ELSE 0 END)::INT AS b FROM es)"""
 
 
-def _edges(cells: DataFrame) -> DataFrame:
-    return borders.border_edges(cells, None, _bounds(cells))
+def _edges(spark, sf_dir) -> DataFrame:
+    cells = base(spark, sf_dir, "cells")
+    return borders.border_edges(cells, base(spark, sf_dir, "merges"), _bounds(cells))
 
 
-@query(_with("cells") + f", {_EDGES_SQL} SELECT sheet, kind, a, b FROM e")
+@query(_with("cells", "merges") + f", {_EDGES_SQL} SELECT sheet, kind, a, b FROM e")
 def border_edges(spark, sf_dir):
-    return _edges(base(spark, sf_dir, "cells")).drop("workbook")
+    return _edges(spark, sf_dir).drop("workbook")
+
+
+def _keyed_sql(name: str, nodes: str, links: str) -> str:
+    """Components name(sheet, id, comp): the smallest id that each of nodes(sheet, id) reaches over links(sheet, x, y), both ways."""
+    return f"""{name}(sheet, id, comp) USING KEY (sheet, id) AS (SELECT sheet, id, id FROM ({nodes})
+  UNION (SELECT DISTINCT ON (u.sheet, u.id) u.sheet, u.id, v.comp FROM recurring.{name} AS u, {name} AS v, ({links}) k WHERE k.sheet = u.sheet AND v.sheet = u.sheet AND k.x = u.id AND k.y = v.id AND v.comp < u.comp ORDER BY u.sheet, u.id, v.comp))"""
+
 
+def _boxes_sql(name: str, cells: str, least: int = 1) -> str:
+    """Boxes name(sheet, lr, lc, r0, c0, r1, c1) of the components by 4 neighbours of cells(sheet, r, c)."""
+    near = f"SELECT a.sheet, a.id AS x, b.id AS y FROM (SELECT *, unnest([id - 1, id + 1, id - 100000, id + 100000]) AS other FROM {name}_own) a JOIN {name}_own b ON b.sheet = a.sheet AND b.id = a.other"
+    return f"""{name}_own AS (SELECT DISTINCT sheet, r, c, r::BIGINT * 100000 + c AS id FROM ({cells})), {_keyed_sql(name + '_cc', f'SELECT sheet, id FROM {name}_own', near)},
+{name} AS (SELECT o.sheet, (comp // 100000)::INT AS lr, (comp % 100000)::INT AS lc, min(r)::INT AS r0, min(c)::INT AS c0, max(r)::INT AS r1, max(c)::INT AS c1 FROM {name}_own o JOIN {name}_cc k ON k.sheet = o.sheet AND k.id = o.id GROUP BY o.sheet, comp HAVING count(*) >= {least})"""
 
-@query()
+
+_POINTS = "SELECT sheet, kind, a, b, a::BIGINT * 2097152 + b AS u, CASE kind WHEN 'h' THEN a::BIGINT * 2097152 + b + 1 ELSE (a + 1)::BIGINT * 2097152 + b END AS v FROM e"
+_EDGE_CC_SQL = f"""pt AS ({_POINTS}), lk AS (SELECT sheet, u AS x, v AS y FROM pt UNION SELECT sheet, v, u FROM pt), {_keyed_sql('pc', 'SELECT DISTINCT sheet, x AS id FROM lk', 'SELECT * FROM lk')},
+el AS (SELECT pt.*, pc.comp FROM pt JOIN pc ON pc.sheet = pt.sheet AND pc.id = pt.u), fe AS (SELECT sheet, comp, min({{'k': kind, 'a': a, 'b': b}}) AS f FROM el GROUP BY 1, 2),
+ec AS (SELECT el.sheet, kind, a, b, n.component FROM el JOIN (SELECT sheet, comp, row_number() OVER (PARTITION BY sheet ORDER BY f)::INT AS component FROM fe) n ON n.sheet = el.sheet AND n.comp = el.comp)"""
+
+
+@query(_with("cells", "merges") + f", {_EDGES_SQL}, {_EDGE_CC_SQL} SELECT sheet, kind, a, b, component FROM ec")
 def edge_components(spark, sf_dir):
-    return components.edge_components(_edges(base(spark, sf_dir, "cells"))).drop("workbook")
+    return components.edge_components(_edges(spark, sf_dir)).drop("workbook")
 
 
 @query(_with("boxes") + """, l AS (SELECT id, 'top' AS side, 'h' AS kind, r0 AS a, unnest(range(c0, c1 + 1)) AS b FROM boxes UNION ALL SELECT id, 'bottom', 'h', r1 + 1, unnest(range(c0, c1 + 1)) FROM boxes
@@ -269,42 +299,89 @@ def perimeters(spark, sf_dir):
     return borders.perimeter(base(spark, sf_dir, "boxes").select("id", *SIDES)).select("id", "side", "kind", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
 
 
-@query(_with("cells") + f""", {_EDGES_SQL}, own AS (SELECT sheet, r AS r0, c AS c0, r AS r1, c AS c1 FROM cells) SELECT sheet, r0, c0, r1, c1 FROM own o WHERE
-  EXISTS (SELECT 1 FROM e WHERE e.sheet = o.sheet AND kind = 'h' AND a = r0 AND e.b = c0) AND EXISTS (SELECT 1 FROM e WHERE e.sheet = o.sheet AND kind = 'h' AND a = r0 + 1 AND e.b = c0)
-  AND EXISTS (SELECT 1 FROM e WHERE e.sheet = o.sheet AND kind = 'v' AND a = r0 AND e.b = c0) AND EXISTS (SELECT 1 FROM e WHERE e.sheet = o.sheet AND kind = 'v' AND a = r0 AND e.b = c0 + 1)""")
+@query(_with("cells") + f""", {_SIDES_SQL}, o AS (SELECT sheet, r AS r0, c AS c0, r AS r1, c AS c1 FROM cells UNION ALL SELECT sheet, r, c, r + 1, c FROM cells UNION ALL SELECT sheet, r, c, r, c + 1 FROM cells),
+n AS (SELECT o.*, 1 AS x FROM o JOIN sd ON sd.sheet = o.sheet AND side = 'top' AND r = r0 AND c BETWEEN c0 AND c1 UNION ALL SELECT o.*, 1 FROM o JOIN sd ON sd.sheet = o.sheet AND side = 'bottom' AND r = r1 AND c BETWEEN c0 AND c1
+  UNION ALL SELECT o.*, 1 FROM o JOIN sd ON sd.sheet = o.sheet AND side = 'left' AND c = c0 AND r BETWEEN r0 AND r1 UNION ALL SELECT o.*, 1 FROM o JOIN sd ON sd.sheet = o.sheet AND side = 'right' AND c = c1 AND r BETWEEN r0 AND r1)
+SELECT sheet, r0::INT AS r0, c0::INT AS c0, r1::INT AS r1, c1::INT AS c1 FROM n GROUP BY ALL HAVING count(*) = 2 * (r1 - r0 + 1 + c1 - c0 + 1)""")
 def closed_border(spark, sf_dir):
+    """Of every cell, and of it with its lower or right neighbour."""
     cells = base(spark, sf_dir, "cells")
-    return borders.has_closed_border(occupancy.cell_boxes(cells), _edges(cells)).drop("workbook")
+    one = occupancy.cell_boxes(cells)
+    tried = one.unionByName(one.withColumn("r1", F.col("r1") + 1)).unionByName(one.withColumn("c1", F.col("c1") + 1))
+    return borders.has_closed_border(tried, cells).drop("workbook")
 
 
 def _value_boxes(cells: DataFrame) -> DataFrame:
     return components.component_boxes(occupancy.non_empty_cells(cells), 4).select(*KEY, "label_row", "label_col", *SIDES)
 
 
-@query()
+_VALUES_SQL = _boxes_sql("vb", "SELECT sheet, r, c FROM cells WHERE txt <> ''")
+_BORDERED_SQL = f"""s AS (SELECT sheet, r, c FROM cells WHERE s0 IN {_STRONG_SQL} OR s1 IN {_STRONG_SQL} OR s2 IN {_STRONG_SQL} OR s3 IN {_STRONG_SQL}),
+t AS (SELECT m.* FROM merges m WHERE EXISTS (SELECT 1 FROM s WHERE s.sheet = m.sheet AND s.r BETWEEN m.r0 AND m.r1 AND s.c BETWEEN m.c0 AND m.c1 AND (s.r IN (m.r0, m.r1) OR s.c IN (m.c0, m.c1)))),
+tr AS (SELECT sheet, unnest(range(r0, r1 + 1)) AS r, c0, c1 FROM t), tc AS (SELECT sheet, r, unnest(range(c0, c1 + 1)) AS c FROM tr),
+bo AS (SELECT DISTINCT x.sheet, x.r::INT AS r, x.c::INT AS c FROM (SELECT * FROM s UNION SELECT sheet, r::INT, c::INT FROM tc) x JOIN b ON b.sheet = x.sheet AND x.r BETWEEN b.r0 AND b.r1 AND x.c BETWEEN b.c0 AND b.c1)"""
+_SHARED = "(greatest(0, least(f.r1, k.r1) - greatest(f.r0, k.r0) + 1) * greatest(0, least(f.c1, k.c1) - greatest(f.c0, k.c0) + 1))"
+_TAKES = f"""({_SHARED} > 0 AND {_SHARED}::DOUBLE / ((f.r1 - f.r0 + 1) * (f.c1 - f.c0 + 1)) >= 0.8 AND (k.r1 - k.r0 + 1) * (k.c1 - k.c0 + 1) <= (f.r1 - f.r0 + 1) * (f.c1 - f.c0 + 1) * 3.0
+  AND greatest(f.r0 - k.r0, k.r1 - f.r1) <= 3 AND greatest(f.c0 - k.c0, k.c1 - f.c1) <= 3 AND {_SHARED}::DOUBLE / ((k.r1 - k.r0 + 1) * (k.c1 - k.c0 + 1)) >= 0.1)"""
+
+
+@query(_with("cells", "merges") + f""", {_BOUNDS_SQL}, {_VALUES_SQL}, {_BORDERED_SQL}, {_boxes_sql('sb', 'SELECT sheet, r, c FROM bo', 2)},
+sn AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY lr, lc) AS n FROM sb),
+fold AS (SELECT sheet, lr, lc, 0::BIGINT AS n, r0, c0, r1, c1 FROM vb UNION ALL SELECT f.sheet, f.lr, f.lc, k.n, CASE WHEN {_TAKES} THEN least(f.r0, k.r0) ELSE f.r0 END, CASE WHEN {_TAKES} THEN least(f.c0, k.c0) ELSE f.c0 END,
+  CASE WHEN {_TAKES} THEN greatest(f.r1, k.r1) ELSE f.r1 END, CASE WHEN {_TAKES} THEN greatest(f.c1, k.c1) ELSE f.c1 END FROM fold f JOIN sn k ON k.sheet = f.sheet AND k.n = f.n + 1),
+grown AS (SELECT f.sheet, lr, lc, r0, c0, r1, c1 FROM fold f WHERE f.n = (SELECT count(*) FROM sn WHERE sn.sheet = f.sheet)
+  UNION ALL SELECT sheet, lr, lc, r0, c0, r1, c1 FROM sb WHERE NOT EXISTS (SELECT 1 FROM vb WHERE vb.sheet = sb.sheet AND vb.r0 <= sb.r1 AND sb.r0 <= vb.r1 AND vb.c0 <= sb.c1 AND sb.c0 <= vb.c1)),
+l AS (SELECT sheet, r0, c0, r1, c1, min({{'r': lr, 'c': lc}}) AS l FROM grown GROUP BY ALL)
+SELECT sheet, l.r AS label_row, l.c AS label_col, r0, c0, r1, c1 FROM l""")
 def border_expand(spark, sf_dir):
     cells, cfg = base(spark, sf_dir, "cells"), Config(strong_borders_only=True, add_border_only_regions=True)
     shells = components.component_boxes(occupancy.border_occupied_cells(cells, base(spark, sf_dir, "merges"), _bounds(cells), cfg), 4, 2).select(*KEY, "label_row", "label_col", *SIDES)
     return borders.expand_to_shells(_value_boxes(cells), shells, cfg).drop("workbook")
 
 
-@query()
+_TOUCH_SQL = f"""{_EDGES_SQL}, {_EDGE_CC_SQL}, {_VALUES_SQL}, vd AS (SELECT DISTINCT sheet, r0, c0, r1, c1 FROM vb),
+pl AS (SELECT *, 'top' AS side, 'h' AS kind, r0 AS a, unnest(range(c0, c1 + 1)) AS b FROM vd UNION ALL SELECT *, 'bottom', 'h', r1 + 1, unnest(range(c0, c1 + 1)) FROM vd
+  UNION ALL SELECT *, 'left', 'v', unnest(range(r0, r1 + 1)), c0 FROM vd UNION ALL SELECT *, 'right', 'v', unnest(range(r0, r1 + 1)), c1 + 1 FROM vd),
+tc AS (SELECT pl.sheet, r0, c0, r1, c1, component, count(DISTINCT side) AS n_sides FROM pl JOIN ec ON ec.sheet = pl.sheet AND ec.kind = pl.kind AND ec.a = pl.a AND ec.b = pl.b GROUP BY ALL)"""
+
+
+@query(_with("cells", "merges") + f", {_TOUCH_SQL} SELECT sheet, r0, c0, r1, c1, component, n_sides FROM tc")
 def perimeter_touch(spark, sf_dir):
-    cells = base(spark, sf_dir, "cells")
-    boxes = _value_boxes(cells).withColumn("node", F.xxhash64(*SIDES))
-    return borders.touched_components(boxes, _edges(cells), Config()).drop("workbook")
+    boxes = _value_boxes(base(spark, sf_dir, "cells")).select(*KEY, *SIDES).distinct().withColumn("node", F.xxhash64(*SIDES))
+    return borders.touched_components(boxes, _edges(spark, sf_dir), Config()).join(boxes, [*KEY, "node"]).select("sheet", *SIDES, "component", "n_sides")
 
 
-@query()
-def contact_merge(spark, sf_dir):
-    cells, cfg = base(spark, sf_dir, "cells"), Config(use_border_contact_merge=True)
-    return borders.merge_by_contact(_value_boxes(cells).select(*KEY, *SIDES), _edges(cells), cfg).drop("workbook")
+_NEAR_SQL = f"""NOT ({_CONTAIN}) AND CASE WHEN greatest(b.r0 - a.r1, a.r0 - b.r1) > 0 THEN greatest(b.r0 - a.r1, a.r0 - b.r1) - 1 <= 1 AND {_OVER.format('c0', 'c1')} >= 0.8
+  WHEN greatest(b.c0 - a.c1, a.c0 - b.c1) > 0 THEN greatest(b.c0 - a.c1, a.c0 - b.c1) - 1 <= 1 AND {_OVER.format('r0', 'r1')} >= 0.8 ELSE true END"""
 
 
-@query()
+@query(_with("cells", "merges") + f""", {_TOUCH_SQL}, vn AS (SELECT *, row_number() OVER (ORDER BY sheet, r0, c0, r1, c1) AS id FROM vd),
+tn AS (SELECT vn.*, component FROM tc JOIN vn USING (sheet, r0, c0, r1, c1) WHERE n_sides >= 2),
+pr AS (SELECT DISTINCT a.sheet, a.id AS x, b.id AS y FROM tn a JOIN tn b ON a.sheet = b.sheet AND a.component = b.component AND a.id <> b.id WHERE {_NEAR_SQL}),
+{_keyed_sql('gc', 'SELECT sheet, id FROM vn', 'SELECT * FROM pr')},
+mb AS (SELECT vn.sheet, comp, min(r0) AS r0, min(c0) AS c0, max(r1) AS r1, max(c1) AS c1, sum((r1 - r0 + 1) * (c1 - c0 + 1)) AS total FROM vn JOIN gc ON gc.sheet = vn.sheet AND gc.id = vn.id GROUP BY vn.sheet, comp),
+fit AS (SELECT *, (r1 - r0 + 1) * (c1 - c0 + 1) <= total * 2.5 AS fits FROM mb)
+SELECT sheet, r0, c0, r1, c1 FROM fit WHERE fits UNION SELECT vn.sheet, vn.r0, vn.c0, vn.r1, vn.c1 FROM vn JOIN gc ON gc.sheet = vn.sheet AND gc.id = vn.id JOIN fit ON fit.sheet = gc.sheet AND fit.comp = gc.comp WHERE NOT fits""")
+def contact_merge(spark, sf_dir):
+    cfg = Config(use_border_contact_merge=True)
+    return borders.merge_by_contact(_value_boxes(base(spark, sf_dir, "cells")).select(*KEY, *SIDES).distinct(), _edges(spark, sf_dir), cfg).drop("workbook")
+
+
+@query(_with("tables") + f""", {_boxes_sql('gb', 'SELECT sheet, r, c FROM tables WHERE (s0 IS NOT NULL OR s1 IS NOT NULL) AND (s2 IS NOT NULL OR s3 IS NOT NULL)', 4)}, {_SIDES_SQL.replace('FROM cells', 'FROM tables')},
+ro AS (SELECT sheet, 1 AS r0, 1 AS c0, (max(r) + 2)::INT AS r1, (max(c) + 2)::INT AS c1 FROM tables GROUP BY 1),
+tr AS (SELECT sheet, r0, c0, r1, c1, 0 AS n, r0 AS o0, c0 AS o1, r1 AS o2, c1 AS o3 FROM gb UNION ALL SELECT gb.sheet, gb.r0, gb.c0, least(ro.r1, gb.r1 + 1), gb.c1, 1, gb.r0, gb.c0, gb.r1, gb.c1 FROM gb JOIN ro USING (sheet) UNION ALL SELECT gb.sheet, gb.r0, gb.c0, gb.r1, least(ro.c1, gb.c1 + 1), 2, gb.r0, gb.c0, gb.r1, gb.c1 FROM gb JOIN ro USING (sheet)),
+n AS (SELECT t.*, (SELECT count(*) FROM sd WHERE sd.sheet = t.sheet AND r BETWEEN t.r0 AND t.r1 AND c BETWEEN t.c0 AND t.c1 AND (side = 'top' AND r = t.r0 OR side = 'bottom' AND r = t.r1 OR side = 'left' AND c = t.c0 OR side = 'right' AND c = t.c1)) AS k FROM tr t),
+pick AS (SELECT sheet, o0, o1, o2, o3, max_by({{'r0': r0, 'c0': c0, 'r1': r1, 'c1': c1}}, n) AS x FROM n WHERE k = 2 * (r1 - r0 + 1 + c1 - c0 + 1) GROUP BY 1, 2, 3, 4, 5),
+kid AS (SELECT DISTINCT pick.sheet, x.r0 AS r0, x.c0 AS c0, x.r1 AS r1, x.c1 AS c1 FROM pick JOIN ro USING (sheet) WHERE x.r1 > x.r0 AND x.c1 > x.c0 AND x.r0 > ro.r0 AND x.c0 > ro.c0 AND x.r1 < ro.r1 AND x.c1 < ro.c1),
+own AS (SELECT * FROM kid a WHERE NOT EXISTS (SELECT 1 FROM kid b WHERE b.sheet = a.sheet AND b.r0 <= a.r0 AND b.c0 <= a.c0 AND b.r1 >= a.r1 AND b.c1 >= a.c1 AND (a.r0, a.c0, a.r1, a.c1) <> (b.r0, b.c0, b.r1, b.c1))),
+cs AS (SELECT sheet, string_agg({_ref_sql()}, ',' ORDER BY r0, c0) AS children FROM own GROUP BY 1)
+SELECT ro.sheet, {_ref_sql()} AS range_ref, coalesce(children, '') AS children FROM ro LEFT JOIN cs USING (sheet)""")
 def region_tree(spark, sf_dir):
-    cells = base(spark, sf_dir, "cells")
-    out = tree.region_tree(_value_boxes(cells).select(*KEY, *SIDES), cells, base(spark, sf_dir, "merges"))
+    """One root a sheet: the box around all of its tables, with two rows and columns more."""
+    cells = base(spark, sf_dir, "tables")
+    own = cells.groupBy(*KEY).agg(F.lit(1).alias("r0"), F.lit(1).alias("c0"), (F.max("row") + 2).alias("r1"), (F.max("col") + 2).alias("c1"))
+    inner = cells.groupBy(*KEY).agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.min("row").alias("r1"), F.max("col").alias("c1"))
+    out = tree.region_tree(own.unionByName(inner), cells)
     return out.select("sheet", "range_ref", F.array_join("children", ",").alias("children"))
 
 
@@ -312,15 +389,18 @@ _WIDTH = "greatest(4, trunc(coalesce(CASE WHEN k % 3 = 0 THEN (k % 20) * 1.5 END
 _AXIS_SQL = f"x AS (SELECT k, {_WIDTH} AS size FROM range(1, 102) g(k)), ax AS (SELECT k, size, coalesce(sum(size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM x)"
 
 
-def _axis(spark) -> DataFrame:
+def _axis(spark, name: str = "col") -> DataFrame:
     extent = spark.range(1).select(F.lit("wb").alias("workbook"), F.lit("s").alias("sheet"), F.lit(100).alias("last"))
-    dims = spark.range(1, 102).where("id % 3 = 0").select(F.lit("wb").alias("workbook"), F.lit("s").alias("sheet"), F.col("id").cast("int").alias("col"), (F.col("id") % 20 * 1.5).alias("size"))
-    return drawings.pixel_axis(extent, dims, "col")
+    dims = spark.range(1, 102).where("id % 3 = 0").select(F.lit("wb").alias("workbook"), F.lit("s").alias("sheet"), F.col("id").cast("int").alias(name), (F.col("id") % 20 * 1.5).alias("size"))
+    return drawings.pixel_axis(extent, dims, name)
+
+
+_HEIGHT = "greatest(4, trunc(coalesce(CASE WHEN k % 3 = 0 THEN (k % 20) * 1.5 END, 15.0) * 96 / 72)::INT)"
 
 
-@query(f"WITH {_AXIS_SQL} SELECT k::INT AS col_no, start, size::INT AS size FROM ax")
+@query(f"WITH {_AXIS_SQL}, y AS (SELECT k, {_HEIGHT} AS size FROM range(1, 102) g(k)) SELECT 'col' AS axis, k::INT AS line, start, size::INT AS size FROM ax UNION ALL SELECT 'row', k::INT, coalesce(sum(size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT, size::INT FROM y")
 def pixel_axes(spark, sf_dir):
-    return _axis(spark).select(F.col("col").alias("col_no"), "start", "size")
+    return _axis(spark).select(F.lit("col").alias("axis"), F.col("col").alias("line"), "start", "size").unionByName(_axis(spark, "row").select(F.lit("row").alias("axis"), F.col("row").alias("line"), "start", "size"))
 
 
 @query(f"WITH {_AXIS_SQL} SELECT p_partkey AS id, least(100, coalesce((SELECT max(k) FROM ax WHERE ax.start <= (p_partkey * 37) % 9000), 1))::INT AS col_no FROM part")
@@ -343,11 +423,11 @@ def chart_formula(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("id"), local_range_ref(formula).alias("range_ref")).where("range_ref is not null")
 
 
-_SNAP_CELLS = "SELECT sheet, r, c, txt FROM cells WHERE c <= 12"
+_SNAP_CELLS = "SELECT sheet, r, c, CASE WHEN c % 5 = 0 THEN '=' || txt ELSE txt END AS txt FROM cells"
 
 
 def _snap(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    cells = base(spark, sf_dir, "cells").where("col <= 12")
+    cells = base(spark, sf_dir, "cells").withColumn("text", F.when(F.col("col") % 5 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text")))
     return cells, components_bounds(cells)
 
 
@@ -356,10 +436,13 @@ def components_bounds(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*KEY).agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
 
 
-@query(_with("cells") + f""", k AS ({_SNAP_CELLS}), g AS (SELECT sheet, min(r) AS r0, max(r) AS r1 FROM k GROUP BY 1), rows AS (SELECT sheet, r0, r1, unnest(range(r0, r1 + 1))::INT AS r FROM g),
+_CHANGE_SQL = f"""k AS ({_SNAP_CELLS}), g AS (SELECT sheet, min(r) AS r0, min(c) AS c0, max(r) AS r1, max(c) AS c1 FROM k GROUP BY 1), rows AS (SELECT sheet, r0, r1, unnest(range(r0, r1 + 1))::INT AS r FROM g),
 s AS (SELECT rows.sheet, r0, r1, rows.r, coalesce(string_agg(k.c::VARCHAR, ',' ORDER BY k.c), '') AS sig FROM rows LEFT JOIN k ON k.sheet = rows.sheet AND k.r = rows.r GROUP BY 1, 2, 3, 4),
-l AS (SELECT *, lag(sig) OVER (PARTITION BY sheet ORDER BY r) AS before FROM s)
-SELECT sheet, coalesce(min(CASE WHEN r > least(r1, r0 + 20) AND sig <> before THEN r END), min(r0) + (min(r1) - min(r0) + 1) // 2)::INT AS change_row FROM l GROUP BY 1""")
+l AS (SELECT *, lag(sig) OVER (PARTITION BY sheet ORDER BY r) AS before FROM s),
+cp AS (SELECT sheet, coalesce(min(CASE WHEN r > least(r1, r0 + 20) AND sig <> before THEN r END), min(r0) + (min(r1) - min(r0) + 1) // 2)::INT AS change_row FROM l GROUP BY 1)"""
+
+
+@query(_with("cells") + f", {_CHANGE_SQL} SELECT sheet, change_row FROM cp")
 def change_point(spark, sf_dir):
     cells, own = _snap(spark, sf_dir)
     return snapshots.change_point(own, cells).select("sheet", "change_row")
@@ -376,22 +459,52 @@ def merge_structure(spark, sf_dir):
     return snapshots.merge_structure(own, merges).select("sheet", "m_r0", "m_r1")
 
 
-@query(_with("boxes") + """, o AS (SELECT *, max(r1) OVER (PARTITION BY sheet ORDER BY r0, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM boxes),
-i AS (SELECT *, sum(CASE WHEN r0 - top <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY sheet ORDER BY r0, id) AS island FROM o) SELECT sheet, min(r0)::INT AS s_r0, max(r1)::INT AS s_r1 FROM i GROUP BY sheet, island""")
-def coalesce_samples(spark, sf_dir):
-    b = base(spark, sf_dir, "boxes")
-    samples = b.select(*KEY, *(F.lit(1).alias(s) for s in SIDES), F.col("r0").alias("s_r0"), F.col("r1").alias("s_r1"), F.col("id").alias("n"), F.lit("k").alias("kind"), F.lit("p").alias("purpose"))
-    return snapshots.coalesce_samples(samples, 1).select("sheet", "s_r0", "s_r1")
+def _joined_sql(samples: str, margin: int) -> str:
+    """Islands j(sheet, island, kind, purpose, s_r0, s_r1) of samples(sheet, n, kind, purpose, s_r0, s_r1); of equal kinds the first."""
+    first = lambda x: f"(SELECT sheet, island, {x}, min({{'r': s_r0, 'n': n}}) AS f FROM isl GROUP BY 1, 2, 3)"
+    return f"""o AS (SELECT *, max(s_r1) OVER (PARTITION BY sheet ORDER BY s_r0, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ({samples})),
+isl AS (SELECT *, sum(CASE WHEN s_r0 - top <= {margin} THEN 0 ELSE 1 END) OVER (PARTITION BY sheet ORDER BY s_r0, n) AS island FROM o),
+ik AS (SELECT sheet, island, string_agg(kind, '+' ORDER BY f) AS kind FROM {first('kind')} GROUP BY 1, 2), ip AS (SELECT sheet, island, string_agg(purpose, '; ' ORDER BY f) AS purpose FROM {first('purpose')} GROUP BY 1, 2),
+j AS (SELECT sheet, island, kind, purpose, s_r0, s_r1 FROM (SELECT sheet, island, min(s_r0)::INT AS s_r0, max(s_r1)::INT AS s_r1 FROM isl GROUP BY 1, 2) JOIN ik USING (sheet, island) JOIN ip USING (sheet, island))"""
 
 
-@query(_with("cells", "merges") + f""", k AS ({_SNAP_CELLS}), g AS (SELECT sheet, min(r) AS r0, min(c) AS c0, max(r) AS r1, max(c) AS c1 FROM k GROUP BY 1)
-SELECT sheet, {_ref_sql()} AS region_range, (r1 - r0 + 1)::INT AS row_count, (c1 - c0 + 1)::INT AS col_count,
- (SELECT count(*) FROM merges m WHERE m.sheet = g.sheet AND m.r0 <= g.r1 AND g.r0 <= m.r1 AND m.c0 <= g.c1 AND g.c0 <= m.c1) AS merged_cell_count,
- CASE WHEN r1 - r0 + 1 > 120 OR (r1 - r0 + 1) * (c1 - c0 + 1) > 1000 THEN 'large_table_sampled' ELSE 'full_region' END AS strategy FROM g""")
+@query(_with("boxes") + f", {_joined_sql('SELECT sheet, id AS n, chr((97 + id % 5)::INT) AS kind, chr((65 + id % 3)::INT) AS purpose, r0 AS s_r0, r1 AS s_r1 FROM boxes', 1)} SELECT sheet, s_r0, s_r1, kind, purpose FROM j")
+def coalesce_samples(spark, sf_dir):
+    b = base(spark, sf_dir, "boxes")
+    letter = lambda first, n: F.char(F.lit(first) + (F.col("id") % n).cast("int"))
+    samples = b.select(*KEY, *(F.lit(1).alias(s) for s in SIDES), F.col("r0").alias("s_r0"), F.col("r1").alias("s_r1"), F.col("id").alias("n"), letter(97, 5).alias("kind"), letter(65, 3).alias("purpose"))
+    return snapshots.coalesce_samples(samples, 1).select("sheet", "s_r0", "s_r1", "kind", "purpose")
+
+
+_REGION = _ref_sql("g.")
+_PART = "SELECT sheet, {} AS n, '{}' AS kind, {} AS s_r0, {} AS s_r1 FROM big"
+_PARTS_SQL = " UNION ALL ".join((
+    _PART.format(0, "header", "r0", "least(r1, r0 + 19)"), _PART.format(1, "first_rows", "least(r1, r0 + 20)", "least(r1, r0 + 59)"),
+    _PART.format(2, "change_points", "greatest(r0, greatest(r0, least(r1, change_row)) - 20)", "least(r1, greatest(r0, least(r1, change_row)) + 20)"),
+    _PART.format(3, "last_rows", "greatest(r0, r1 - 47)", "r1"), "SELECT sheet, 4, 'merge_structure', m_r0, m_r1 FROM ms",
+))
+_WHY_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in snapshots.PURPOSES.items()) + " END AS purpose"
+
+
+@query(_with("cells", "merges") + f""", {_CHANGE_SQL}, kg AS (SELECT *, CASE WHEN r1 - r0 + 1 > 120 OR (r1 - r0 + 1) * (c1 - c0 + 1) > 1000 THEN 'large_table_sampled' ELSE 'full_region' END AS strategy FROM g),
+big AS (SELECT * FROM kg JOIN cp USING (sheet) WHERE strategy = 'large_table_sampled'),
+sp AS (SELECT big.sheet, greatest(big.c0, m.c0) AS lo, least(big.c1, m.c1) AS hi, big.r0, big.r1, unnest(range(greatest(big.r0, m.r0), least(big.r1, m.r1) + 1))::INT AS r FROM big JOIN merges m ON m.sheet = big.sheet AND greatest(big.c0, m.c0) < least(big.c1, m.c1)),
+sg AS (SELECT sheet, r0, r1, r, string_agg(lo || '-' || hi, ',' ORDER BY lo, hi) AS sig FROM sp GROUP BY 1, 2, 3, 4), sl AS (SELECT *, lag(r) OVER w AS pr, lag(sig) OVER w AS ps FROM sg WINDOW w AS (PARTITION BY sheet ORDER BY r)),
+sc AS (SELECT * FROM sl WHERE pr IS NULL OR pr < r - 1 OR sig <> ps), si AS (SELECT *, CASE WHEN r - lag(r) OVER (PARTITION BY sheet ORDER BY r) <= 5 THEN 0 ELSE 1 END AS new FROM sc), sj AS (SELECT *, sum(new) OVER (PARTITION BY sheet ORDER BY r) AS island FROM si),
+ms AS (SELECT sheet, greatest(min(r0), min(r) - 5)::INT AS m_r0, least(min(r1), max(r) + 5)::INT AS m_r1 FROM sj GROUP BY sheet, island),
+{_joined_sql(f'SELECT *, {_WHY_SQL} FROM ({_PARTS_SQL})', 5)},
+jn AS (SELECT j.*, row_number() OVER (PARTITION BY j.sheet ORDER BY island) + 1 AS k, g.c0, g.c1 FROM j JOIN g USING (sheet)),
+ss AS (SELECT sheet, string_agg('S' || lpad(k::VARCHAR, 3, '0') || ' ' || kind || ' ' || {_ref_sql().replace('r0', 's_r0').replace('r1', 's_r1')} || ' ' || purpose || ' true split', '|' ORDER BY k) AS snaps FROM jn GROUP BY 1)
+SELECT g.sheet, {_REGION} AS region_range, (g.r1 - g.r0 + 1)::INT AS row_count, (g.c1 - g.c0 + 1)::INT AS col_count, g.strategy, CASE g.strategy WHEN 'full_region' THEN 'full' ELSE 'split' END AS snapshot_mode, g.strategy <> 'full_region' AS is_split,
+ (SELECT count(*) FROM merges m WHERE m.sheet = g.sheet AND m.r0 <= g.r1 AND g.r0 <= m.r1 AND m.c0 <= g.c1 AND g.c0 <= m.c1) AS merged_cell_count, (SELECT count(*) FROM k WHERE k.sheet = g.sheet AND k.txt LIKE '=%') AS formula_count,
+ CASE g.strategy WHEN 'full_region' THEN 'S001 full_region ' || {_REGION} || ' {snapshots.PURPOSES["full_region"]} true full' ELSE 'S001 overview ' || {_REGION} || ' {snapshots.PURPOSES["overview"]} false metadata|' || snaps END AS snapshots
+FROM kg g LEFT JOIN ss ON ss.sheet = g.sheet""")
 def snapshot_plan(spark, sf_dir):
     cells, own = _snap(spark, sf_dir)
     none = cells.limit(0).select(*KEY, F.lit("").alias("range_ref"))
-    return snapshots.snapshot_plan(own, cells, base(spark, sf_dir, "merges"), none).select("sheet", "region_range", "row_count", "col_count", "merged_cell_count", "strategy")
+    plan = snapshots.snapshot_plan(own, cells, base(spark, sf_dir, "merges"), none)
+    shots = F.array_join(F.transform("snapshots", lambda x: F.concat_ws(" ", x["snapshot_id"], x["kind"], x["range_ref"], x["purpose"], x["render"].cast("string"), x["snapshot_mode"])), "|")
+    return plan.select("sheet", "region_range", "row_count", "col_count", "merged_cell_count", "formula_count", "strategy", "snapshot_mode", "is_split", shots.alias("snapshots"))
 
 
 @query(_cc_sql(_N8, "sheet, count(*) AS region_count", "") .replace("FROM box", "FROM (SELECT DISTINCT sheet, r0, c0, r1, c1 FROM box) GROUP BY sheet"))
@@ -401,7 +514,12 @@ def sheet_summary(spark, sf_dir):
     return regions.summary(own, cells.select(*KEY).distinct()).select("sheet", "region_count")
 
 
-@query("SELECT c_custkey AS id, translate(c_name || '/:' || c_custkey, '\\/:*?\"<>|', '_________') AS safe, regexp_replace(regexp_replace(c_name || ' #' || c_custkey, '[^0-9A-Za-z_.()\\-]+', '_', 'g'), '^_+|_+$', '', 'g') AS part FROM customer")
+@query(r"""SELECT c_custkey AS id, translate(c_name || '/:' || c_custkey, '\/:*?"<>|', '_________') AS safe,
+  trim(regexp_replace(translate('::' || c_name || ' #:/' || c_custkey || '\ !', ':/\', '___'), '[^0-9A-Za-z_.()\-]+', '_', 'g'), '_') AS part,
+  CASE c_custkey % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.bin' WHEN 2 THEN '.tiff' ELSE '.gif' END AS extension FROM customer""")
 def safe_names(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.select(F.col("c_custkey").alias("id"), safe_name(F.concat("c_name", F.lit("/:"), "c_custkey")).alias("safe"), safe_filename_part(F.concat("c_name", F.lit(" #"), "c_custkey")).alias("part"))
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey") % 4
+    name = F.concat(F.lit("::"), "c_name", F.lit(" #:/"), "c_custkey", F.lit("\\ !"))
+    media = F.concat(F.lit("xl/media/image"), F.element_at(F.array(F.lit(".PNG"), F.lit(".emf"), F.lit(".tiff"), F.lit("")), (k + 1).cast("int")))
+    data = F.when(k == 3, F.lit("GIF89a")).otherwise(F.lit("x")).cast("binary")
+    return c.select(F.col("c_custkey").alias("id"), safe_name(F.concat("c_name", F.lit("/:"), "c_custkey")).alias("safe"), safe_filename_part(name).alias("part"), image_extension(media, data).alias("extension"))
