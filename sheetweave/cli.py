@@ -14,7 +14,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--workbook", required=True)
     p.add_argument("--sheet")
     p.add_argument("--config")
-    p.add_argument("--out", default="out")
+    p.add_argument("--out", default="outputs/info_regions")
     p.add_argument("--no-overlay", "--no-images", dest="overlay", action="store_false")
     p.add_argument("--snapshots", action="store_true")
     p.add_argument("--respect-hidden", action="store_true")
@@ -23,7 +23,10 @@ def main(argv: list[str] | None = None) -> None:
     overrides = {"respect_hidden_rows_cols": True, "respect_hidden_sheets": True} if a.respect_hidden else {}
     overrides |= {"use_print_area_bounds": True} if a.use_print_area else {}
     spark = SparkSession.builder.appName("sheetweave").getOrCreate()
-    run_and_write(spark, a.workbook, a.out, a.sheet, a.config, overrides, a.overlay, a.snapshots)
+    result = run_and_write(spark, a.workbook, a.out, a.sheet, a.config, overrides, a.overlay, a.snapshots)
+    print(f"[sheetweave] sheets={len(result['sheets'])} -> {a.out}")
+    for name, own in result["sheets"].items():
+        print(f"  - {name}: regions={len(own['regions'])}, ranges={own['regions']}, images={len(own['images'])}")
 
 
 if __name__ == "__main__":

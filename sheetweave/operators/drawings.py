@@ -64,6 +64,22 @@ def image_boxes(images: DataFrame, row_dims: DataFrame, col_dims: DataFrame, she
     return out.withColumn("r1", F.greatest("r0", "r1")).withColumn("c1", F.greatest("c0", "c1")).drop("last_row", "last_col")
 
 
+def anchor_boxes(images: DataFrame) -> DataFrame:
+    """The first image of each anchor with the anchor's cells; without an end marker its size in cells of 64 by 20 pixels."""
+    cells = lambda size, unit: F.greatest(F.lit(1), F.floor(F.col(size) / unit).cast("int"))
+    end = lambda side, size, unit: F.when(F.col("to_row").isNotNull(), F.greatest(f"from_{side}", f"to_{side}")).otherwise(F.col(f"from_{side}") + cells(size, unit) - 1)
+    return images.where("anchored").select("*", F.col("from_row").alias("r0"), F.col("from_col").alias("c0"), end("row", "px_height", 20).alias("r1"), end("col", "px_width", 64).alias("c1"))
+
+
+def image_regions(images: DataFrame, row_dims: DataFrame, col_dims: DataFrame, sheet_size: DataFrame, grouped: bool = True) -> DataFrame:
+    """Boxes of images: by their pixels where a sheet has any whose place is told in full, else (or if not grouped) by their anchors."""
+    if not grouped:
+        return anchor_boxes(images).select(*KEY, *SIDES).distinct()
+    told = images.where("idx is not null")
+    rest = images.join(told.select(*KEY).distinct(), [*KEY], "left_anti")
+    return image_boxes(told, row_dims, col_dims, sheet_size).select(*KEY, *SIDES).unionByName(anchor_boxes(rest).select(*KEY, *SIDES)).distinct()
+
+
 def chart_boxes(charts: DataFrame) -> DataFrame:
     """Charts with the cells of their anchor; without an end marker 11 rows by 7 columns. Charts without an anchor go."""
     return charts.where("from_row is not null").select(
@@ -75,7 +91,7 @@ def chart_boxes(charts: DataFrame) -> DataFrame:
 def chart_sources(charts: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """workbook, sheet, idx, n, role, range_ref, cached_values and values of each source of each chart, first ones of a range.
 
-    charts.series is an array of (cat_f, cat_cache, val_f, val_cache). Values are read from the chart's own sheet, whatever
+    charts.series is an array of (cat_f, cat_cache, val_f, val_cache). Values, each a text with its type, are read from the chart's own sheet, whatever
     sheet the formula names, as a dense grid.
     """
     one = charts.select(*KEY, "idx", F.posexplode("series").alias("s", "x"))
@@ -87,21 +103,21 @@ def chart_sources(charts: DataFrame, cells: DataFrame | None = None) -> DataFram
         return out
     grid = out.select(*KEY, "idx", "n", parse_range(F.col("range_ref")).alias("b")).where("b is not null").select(*KEY, "idx", "n", "b.*")
     spine = grid.select(*KEY, "idx", "n", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row")).select(*KEY, "idx", "n", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
-    filled = spine.join(cells.select(*KEY, "row", "col", "text"), [*KEY, "row", "col"], "left")
-    per_row = filled.groupBy(*KEY, "idx", "n", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]).alias("v"))
+    filled = spine.join(cells.select(*KEY, "row", "col", F.struct("text", "type").alias("value")), [*KEY, "row", "col"], "left")
+    per_row = filled.groupBy(*KEY, "idx", "n", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]).alias("v"))
     values = per_row.groupBy(*KEY, "idx", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "v"))), lambda x: x["v"]).alias("values"))
     return out.join(values, [*KEY, "idx", "n"], "left")
 
 
-def bar_geometry(labels_values: DataFrame) -> DataFrame:
-    """Bars of a chart preview of 900 by 420 pixels: x0, y0, x1, y1 of each value; labels and values are arrays."""
-    w, h, left, top = 800, 260, 70, 50
-    most = F.array_max("values")
-    scale = F.when(most == 0, 1.0).otherwise(most)
-    n = F.size("values")
-    bars = labels_values.select("*", scale.alias("_m"), (F.lit(w) / F.greatest(F.lit(1), n)).alias("_slot"), F.posexplode("values").alias("k", "value"))
-    wide = F.greatest(F.lit(8), (F.col("_slot") * 0.62).cast("int"))
-    x0 = (F.lit(left) + F.col("k") * F.col("_slot") + (F.col("_slot") - wide) / 2).cast("int")
-    tall = (F.col("value") / F.col("_m") * h).cast("int")
-    label = F.substring(F.coalesce(F.get("labels", F.col("k")), F.lit("")), 1, 14)
-    return bars.select(*(c for c in labels_values.columns if c not in ("labels", "values")), "k", "value", label.alias("label"), x0.alias("x0"), (F.lit(top + h) - tall).alias("y0"), (x0 + wide).alias("x1"), F.lit(top + h).alias("y1"))
+#: A chart preview's size, the plot's place in it and the bars' colours.
+PREVIEW, PLOT = (900, 420), (70, 50, 800, 260)
+PALETTE = ((237, 125, 49), (112, 48, 160), (155, 187, 89), (255, 192, 0), (91, 155, 213), (165, 165, 165), (68, 114, 196), (112, 173, 71))
+
+
+def bars(values: list[float]) -> list[tuple[int, int, int, int]]:
+    """x0, y0, x1, y1 of each value's bar in a chart preview."""
+    left, top, width, height = PLOT
+    slot, most = width / max(1, len(values)), max(values, default=0) or 1.0
+    wide = max(8, int(slot * 0.62))
+    at = [int(left + k * slot + (slot - wide) / 2) for k in range(len(values))]
+    return [(x, top + height - int(v / most * height), x + wide, top + height) for x, v in zip(at, values, strict=True)]

@@ -9,7 +9,7 @@ from ..config import Config
 from ..functions.boxes import KEY, SIDES, Box
 from .borders import border_edges, expand_to_shells, merge_by_contact
 from .components import component_boxes
-from .drawings import chart_boxes, image_boxes
+from .drawings import chart_boxes, image_regions
 from .lineage import cut
 from .occupancy import border_occupied_cells, cell_boxes, clip_boxes, effective_bounds, non_empty_cells, occupied_cells, print_area, remove_contained, valued_merges, visible_boxes, visible_cells
 
@@ -25,8 +25,7 @@ def information_regions(t: dict[str, DataFrame], cfg: Config) -> DataFrame:
     see = (lambda b: visible_boxes(b, *hidden)) if respect else (lambda b: b)
     drawings = []
     if cfg.include_images:
-        images = t["images"] if cfg.include_grouped_drawing_images else t["images"].where("not is_group_child")
-        drawings.append(image_boxes(images, t["row_dims"], t["col_dims"], size).select(*KEY, *SIDES).distinct())
+        drawings.append(image_regions(t["images"], t["row_dims"], t["col_dims"], size, cfg.include_grouped_drawing_images))
     if cfg.include_charts:
         drawings.append(chart_boxes(t["charts"]).select(*KEY, *SIDES).distinct())
     drawings = [cut(see(d)) for d in drawings]

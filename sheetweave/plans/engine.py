@@ -12,30 +12,48 @@ from pyspark.sql import functions as F
 
 from ..config import Config, load_config
 from ..functions.boxes import KEY, SIDES, Box, image_extension, is_non_empty, safe_filename_part
+from ..operators.borders import cell_sides
+from ..operators.drawings import PALETTE, PLOT, PREVIEW, bars, chart_boxes, chart_sources, image_boxes, pixel_axis
 from ..operators.lineage import cut
-from ..operators.drawings import bar_geometry, chart_boxes, chart_sources, image_boxes, pixel_axis
 from ..operators.occupancy import clip_boxes, print_area, visible_boxes
 from ..operators.regions import information_regions, summary
 from ..operators.snapshots import snapshot_plan
 from ..operators.tree import inner_tables, region_tree, root_boxes
-from ..png import Canvas
+from ..png import Canvas, rgb
 from ..sources.xlsx import read_workbooks
 
 
 def extract_regions(spark: SparkSession, path: str, sheet: str | None = None, config: Config | None = None) -> DataFrame:
-    """Regions of every sheet of every workbook at the path."""
+    """Regions of every sheet of every workbook at the path; files that can't be read have none (see workbook_errors)."""
     cfg = config or Config()
     return information_regions(read_workbooks(spark, path, sheet, cfg.respect_hidden_sheets), cfg)
 
 
+def workbook_errors(spark: SparkSession, path: str) -> DataFrame:
+    """workbook, sheet, part, error of what couldn't be read at the path; the sheet and part are null for a whole file."""
+    return read_workbooks(spark, path)["errors"]
+
+
+def _one_workbook(t: dict[str, DataFrame], sheet: str | None) -> list:
+    """The sheets in order, of the one workbook that was read; a file or sheet that can't be read raises, and so does an unknown sheet."""
+    failed = t["errors"].where("part is null or part not like 'xl/drawings/%' and part not like 'xl/charts/%'").orderBy("workbook", "part").first()
+    if failed:
+        raise ValueError(f"{failed.workbook}: {failed.part or 'file'}: {failed.error}")
+    rows = t["sheets"].orderBy("sheet_idx").collect()
+    if len({r.workbook for r in rows}) > 1:
+        raise ValueError("the path matches more than one workbook")
+    if sheet and not rows:
+        raise KeyError(sheet)
+    return rows
+
+
 def extract_workbook_info_regions(spark: SparkSession, path: str, sheet: str | None = None, config: Config | None = None) -> dict[str, Any]:
     """One workbook's regions as {"workbook", "sheets": {name: {"sheet_name", "info_regions"}}}. An unknown sheet raises."""
     cfg = config or Config()
     t = read_workbooks(spark, path, sheet, cfg.respect_hidden_sheets)
-    rows = summary(information_regions(t, cfg), t["sheets"]).join(t["sheets"].select(*KEY, "sheet_idx"), [*KEY]).orderBy("sheet_idx").collect()
-    if sheet and not rows:
-        raise KeyError(sheet)
-    return {"workbook": str(path), "sheets": {r.sheet: {"sheet_name": r.sheet, "info_regions": [*r.info_regions]} for r in rows}}
+    order = [r.sheet for r in _one_workbook(t, sheet)]
+    found = {r.sheet: [*r.info_regions] for r in summary(information_regions(t, cfg), t["sheets"]).collect()}
+    return {"workbook": str(path), "sheets": {name: {"sheet_name": name, "info_regions": found[name]} for name in order}}
 
 
 def write_json(path: Path, value: Any) -> None:
@@ -44,8 +62,8 @@ def write_json(path: Path, value: Any) -> None:
 
 
 def placed_images(t: dict[str, DataFrame], cfg: Config) -> DataFrame:
-    """Images with range_ref and file name; numbers count those left out too, and a name used before gets a number."""
-    out = image_boxes(t["images"], t["row_dims"], t["col_dims"], t["sheet_size"])
+    """Images with range_ref and file name; numbers count those left out too."""
+    out = image_boxes(t["images"].where("idx is not null"), t["row_dims"], t["col_dims"], t["sheet_size"])
     if cfg.respect_hidden_rows_cols:
         out = visible_boxes(out, t["row_dims"].where("hidden"), t["col_dims"].where("hidden"))
     if cfg.use_print_area_bounds:
@@ -61,125 +79,239 @@ def chart_table(t: dict[str, DataFrame], cfg: Config) -> DataFrame:
     """name, kind, range_ref and sources of each chart."""
     placed = chart_boxes(t["charts"]).select(*KEY, "idx", F.coalesce("title", F.concat(F.lit("Chart "), "idx")).alias("name"), "kind", Box().range_ref.alias("range_ref"))
     sources = chart_sources(t["charts"], t["cells"] if cfg.include_chart_source_values else None)
-    fields = ["n", "role", "range_ref", "cached_values", *(["values"] if cfg.include_chart_source_values else [])]
-    listed = sources.groupBy(*KEY, "idx").agg(F.array_sort(F.collect_list(F.struct("n", "role", "range_ref"))).alias("order"), F.collect_list(F.struct(*fields)).alias("sources"))
-    return placed.join(listed.drop("order"), [*KEY, "idx"], "left")
-
-
-def draw_list(regions: DataFrame, t: dict[str, DataFrame], cfg: Config) -> DataFrame:
-    """Rectangles of a sheet's picture in pixels: cells with content, then regions; layer orders them."""
-    v = cfg.visualization
-    last = regions.groupBy(*KEY).agg(F.min("r0").alias("top"), F.min("c0").alias("side"), F.max("r1").alias("bottom"), F.max("c1").alias("far"))
-    last = last.select(*KEY, F.greatest(F.lit(1), F.col("top") - v.get("pad_rows", 1)).alias("top"), F.greatest(F.lit(1), F.col("side") - v.get("pad_cols", 1)).alias("side"), "bottom", "far")
-    last = last.withColumn("bottom", F.least(F.col("bottom") + v.get("pad_rows", 1), F.col("top") + v.get("max_rows", 160) - 1)).withColumn("far", F.least(F.col("far") + v.get("pad_cols", 1), F.col("side") + v.get("max_cols", 90) - 1))
-    rows = pixel_axis(last.select(*KEY, F.col("bottom").alias("last")), t["row_dims"].select(*KEY, "row", F.col("height").alias("size")), "row")
-    cols = pixel_axis(last.select(*KEY, F.col("far").alias("last")), t["col_dims"].select(*KEY, "col", F.col("width").alias("size")), "col")
-    cells = t["cells"].where(is_non_empty(F.col("text"))).select(*KEY, F.lit(0).alias("layer"), F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("row").alias("r1"), F.col("col").alias("c1"))
-    boxes = cells.unionByName(regions.select(*KEY, F.lit(1).alias("layer"), *SIDES)).join(last, [*KEY])
-    boxes = boxes.withColumn("r0", F.greatest("r0", "top")).withColumn("c0", F.greatest("c0", "side")).withColumn("r1", F.least("r1", "bottom")).withColumn("c1", F.least("c1", "far")).where(Box().valid)
-    for side, axis, name, to, end in (("r0", rows, "row", "y0", False), ("c0", cols, "col", "x0", False), ("r1", rows, "row", "y1", True), ("c1", cols, "col", "x1", True), ("top", rows, "row", "oy", False), ("side", cols, "col", "ox", False)):
-        at = axis.select(*KEY, F.col(name).alias(side), ((F.col("start") + F.col("size") - 1) if end else F.col("start")).alias(to))
-        boxes = boxes.join(at, [*KEY, side])
-    return boxes.select(*KEY, "layer", (F.col("x0") - F.col("ox")).cast("int").alias("x0"), (F.col("y0") - F.col("oy")).cast("int").alias("y0"), (F.col("x1") - F.col("ox")).cast("int").alias("x1"), (F.col("y1") - F.col("oy")).cast("int").alias("y1"))
-
-
-def _picture(rects: list) -> bytes:
-    canvas = Canvas(max(r.x1 for r in rects) + 2, max(r.y1 for r in rects) + 2)
+    fields = ["n", "role", "range_ref", *(["values", "cached_values"] if cfg.include_chart_source_values else [])]
+    listed = sources.groupBy(*KEY, "idx").agg(F.array_sort(F.collect_list(F.struct("n", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("source")))).alias("x"))
+    return placed.join(listed.select(*KEY, "idx", F.transform("x", lambda x: x["source"]).alias("sources")), [*KEY, "idx"], "left")
+
+
+def typed(value: dict | None) -> Any:
+    """A cell's text as a number, a truth value or a string by its type; formulas stay texts."""
+    text = (value or {}).get("text")
+    if text is None or value["type"] not in ("n", "b"):
+        return text
+    if value["type"] == "b":
+        return text == "True"
+    number = float(text)
+    return int(number) if number.is_integer() and not re.search(r"[.eE]", text) else number
+
+
+def chart_item(row) -> dict[str, Any]:
+    """name, kind, range_ref and sources; values are typed, and caches that hold nothing are left out."""
+    item = {"name": row.name, "kind": row.kind, "range_ref": row.range_ref, "sources": []}
+    for s in map(json.loads, row.sources or []):
+        own = {"role": s["role"], "range_ref": s["range_ref"]}
+        if "values" in s:
+            own["values"] = [[typed(v) for v in line] for line in s["values"] or []]
+        if s.get("cached_values"):
+            own["cached_values"] = s["cached_values"]
+        item["sources"].append(own)
+    return item
+
+
+def chart_preview(item: dict[str, Any]) -> Canvas | None:
+    """Bars of the first categories and values of a chart: cached ones, or the first row of live ones."""
+    roles = {s["role"]: s for s in reversed(item["sources"])}
+    if not {"cat", "val"} <= roles.keys():
+        return None
+    labels, values = (s.get("cached_values") or (s.get("values") or [[]])[0] for s in (roles["cat"], roles["val"]))
+    if not labels or not values:
+        return None
+    canvas, (left, top, width, height) = Canvas(*PREVIEW), PLOT
+    for k in range(6):
+        y = top + int(height * k / 5)
+        canvas.rectangle(left, y, left + width, y, (220, 220, 220))
+    canvas.rectangle(left, top + height, left + width, top + height + 1, (80, 80, 80))
+    canvas.rectangle(left, top, left + 1, top + height, (80, 80, 80))
+    for k, (x0, y0, x1, y1) in enumerate(bars([float(v or 0) for v in values])):
+        canvas.rectangle(x0, y0, x1, y1, PALETTE[k % len(PALETTE)])
+        canvas.outline(x0, y0, x1, y1, (70, 70, 70))
+    return canvas
+
+
+def draw_list(views: DataFrame, regions: DataFrame, t: dict[str, DataFrame], merged: bool = True, preserve: bool = True) -> DataFrame:
+    """Rectangles of each view's picture in pixels, by layer: fills of cells, of merged ranges, lines of borders, regions.
+
+    views has a row for each picture: workbook, sheet, view and the sides shown. All axes are worked out once a sheet.
+    """
+    own = views.select(*KEY, "view", *(F.col(s).alias("v_" + s) for s in SIDES))
+    last = views.groupBy(*KEY).agg(F.max("r1").alias("bottom"), F.max("c1").alias("far"))
+    dims = (lambda df: df) if preserve else (lambda df: df.limit(0))
+    rows = pixel_axis(last.select(*KEY, F.col("bottom").alias("last")), dims(t["row_dims"].select(*KEY, "row", F.col("height").alias("size"))), "row")
+    cols = pixel_axis(last.select(*KEY, F.col("far").alias("last")), dims(t["col_dims"].select(*KEY, "col", F.col("width").alias("size"))), "col")
+    none = F.lit(None).cast("string")
+    cell = [F.col(x).alias(s) for s, x in zip(SIDES, ("row", "col", "row", "col"), strict=True)]
+    shown = t["cells"].where(is_non_empty(F.col("text")) | F.col("fill").isNotNull())
+    parts = shown.select(*KEY, F.lit(0).alias("layer"), *cell, F.col("fill").alias("color"), none.alias("side"))
+    if merged:
+        parts = parts.unionByName(t["merges"].select(*KEY, F.lit(1).alias("layer"), *SIDES, none.alias("color"), none.alias("side")))
+    parts = parts.unionByName(cell_sides(t["cells"]).select(*KEY, F.lit(2).alias("layer"), *cell, none.alias("color"), "side"))
+    parts = parts.withColumn("view", none).unionByName(regions.select(*KEY, F.lit(3).alias("layer"), *SIDES, none.alias("color"), none.alias("side"), "view"))
+    seen = parts.withColumnRenamed("view", "only").join(own, [*KEY]).where(F.col("only").isNull() | (F.col("only") == F.col("view"))).drop("only")
+    clip = Box().clip(Box("v_"))
+    seen = seen.where(clip.valid).select(*KEY, "view", "layer", "color", "side", *clip.columns(), F.col("v_r0").alias("top"), F.col("v_c0").alias("left_"))
+    for side, axis, name, to, end in (("r0", rows, "row", "y0", False), ("c0", cols, "col", "x0", False), ("r1", rows, "row", "y1", True), ("c1", cols, "col", "x1", True), ("top", rows, "row", "oy", False), ("left_", cols, "col", "ox", False)):
+        line = axis.select(*KEY, F.col(name).alias(side), ((F.col("start") + F.col("size") - 1) if end else F.col("start")).alias(to))
+        seen = seen.join(line, [*KEY, side])
+    px = lambda a, o: (F.col(a) - F.col(o)).cast("int").alias(a)
+    return seen.select(*KEY, "view", "layer", "color", "side", px("x0", "ox"), px("y0", "oy"), px("x1", "ox"), px("y1", "oy"))
+
+
+def picture(rects: list, scale: float = 1.0) -> bytes:
+    """A view's rectangles as a PNG; one white pixel where there are none."""
+    at = lambda x: round(x * scale)
+    canvas = Canvas(max((at(r.x1) for r in rects), default=0) + 2, max((at(r.y1) for r in rects), default=0) + 2)
     for r in sorted(rects, key=lambda r: (r.layer, r.y0, r.x0)):
-        if r.layer:
-            canvas.outline(r.x0, r.y0, r.x1, r.y1, (220, 40, 40), 2)
+        x0, y0, x1, y1 = map(at, (r.x0, r.y0, r.x1, r.y1))
+        if r.layer == 0:
+            canvas.rectangle(x0, y0, x1, y1, rgb(r.color) or (225, 232, 245))
+        elif r.layer == 1:
+            canvas.rectangle(x0, y0, x1, y1, (238, 238, 248))
+        elif r.layer == 2:
+            edge = {"top": (x0, y0, x1, y0), "bottom": (x0, y1, x1, y1), "left": (x0, y0, x0, y1), "right": (x1, y0, x1, y1)}
+            canvas.rectangle(*edge[r.side], (90, 90, 90))
         else:
-            canvas.rectangle(r.x0, r.y0, r.x1, r.y1, (225, 232, 245))
+            canvas.outline(x0, y0, x1, y1, (220, 40, 40), 2)
     return canvas.png()
 
 
-def _values(row) -> Any:
-    if hasattr(row, "asDict"):
-        return {k: _values(v) for k, v in row.asDict().items() if k not in ("n", *KEY, *SIDES)}
-    return [_values(x) for x in row] if isinstance(row, list) else row
+def _view(name: str, view: str, box: tuple[int, int, int, int], most: tuple[int, int], pad: tuple[int, int]) -> tuple:
+    """A picture's sides: the box, padded and cut to so many rows and columns."""
+    r0, c0 = max(1, box[0] - pad[0]), max(1, box[1] - pad[1])
+    return name, view, r0, c0, min(box[2] + pad[0], r0 + most[0] - 1, 1_048_576), min(box[3] + pad[1], c0 + most[1] - 1, 16_384)
 
 
 def run_and_write(spark: SparkSession, path: str, out_dir: str, sheet: str | None = None, config_path: str | None = None, overrides: dict[str, Any] | None = None, write_images: bool = True, write_snapshots: bool = False) -> dict[str, Any]:
-    """Regions, trees, drawings and plans of one workbook, and their files below out_dir."""
+    """Regions, trees, drawings, plans and snapshots of one workbook, and their files below out_dir."""
     cfg = load_config(config_path, overrides)
     t = read_workbooks(spark, path, sheet, cfg.respect_hidden_sheets)
-    t = {k: cut(v) for k, v in t.items()}
+    order = [r.sheet for r in _one_workbook(t, sheet)]
     found = cut(information_regions(t, cfg))
-    order = [r.sheet for r in t["sheets"].orderBy("sheet_idx").collect()]
-    if sheet and not order:
-        raise KeyError(sheet)
-    roots, everything = cut(root_boxes(found)), {}
-    trees = region_tree(found, t["cells"], t["merges"]).orderBy(*SIDES).collect()
+    trees = region_tree(found, t["cells"]).orderBy(*SIDES).collect()
     placed = cut(placed_images(t, cfg)) if cfg.extract_embedded_images else None
-    images = placed.orderBy("idx").collect() if placed is not None else []
     charts = chart_table(t, cfg).orderBy("idx").collect() if cfg.include_charts else []
-    drawn = write_images and cfg.visualization.get("enabled", True)
-    rects = draw_list(found, t, cfg).collect() if drawn else []
-    plans: list = []
-    if drawn and write_snapshots:
-        refs = placed.select(*KEY, "range_ref") if cfg.extract_embedded_images else found.limit(0).select(*KEY, "range_ref")
-        plans = snapshot_plan(_tree_boxes(roots, t), t["cells"].withColumn("text", F.col("cached")), t["merges"], refs).orderBy(*SIDES).collect()
-    out = Path(out_dir)
+    out, v, everything = Path(out_dir), cfg.visualization, {}
+    drawn = write_images and v.get("enabled", True)
     for name in order:
-        folder = out / re.sub(r'[\\/:*?"<>|]', "_", name)
-        own = {"sheet_name": name, "regions": [r.range_ref for r in trees if r.sheet == name]}
-        own["region_tree"] = [{"range_ref": r.range_ref, "children": [{"range_ref": c} for c in r.children]} for r in trees if r.sheet == name]
-        own["region_images"], own["snapshot_plan"], own["snapshots"], own["images"], used = [], [], [], [], set()
-        for r in images:
-            if r.sheet == name:
-                file, n = r.file, 2
-                while file in used:
-                    file, n = f"{Path(r.file).stem}_{n}{Path(r.file).suffix}", n + 1
-                used.add(file)
-                (folder / cfg.embedded_image_dir).mkdir(parents=True, exist_ok=True)
-                (folder / cfg.embedded_image_dir / file).write_bytes(bytes(r.data))
-                own["images"].append({"name": r.name, "range_ref": r.range_ref, "path": f"{cfg.embedded_image_dir}/{file}"})
-        own["charts"] = [_chart(spark, r, folder, cfg) for r in charts if r.sheet == name]
-        folder.mkdir(parents=True, exist_ok=True)
-        if here := [r for r in rects if r.sheet == name]:
-            (folder / "info_regions.png").write_bytes(_picture(here))
+        roots = [r for r in trees if r.sheet == name]
+        tree = [{"range_ref": r.range_ref, "children": [{"range_ref": c} for c in r.children]} for r in roots]
+        everything[name] = {"sheet_name": name, "regions": [r.range_ref for r in roots], "region_tree": tree, "region_images": [], "snapshot_plan": [], "snapshots": [], "images": _images(placed, name, out, cfg) if placed is not None else []}
+        everything[name]["charts"] = _charts([r for r in charts if r.sheet == name], out / _folder(name), cfg)
+    if drawn:
+        _pictures(spark, t, found, placed, {name: own for name, own in everything.items() if own["regions"]}, out, cfg, write_snapshots)
+    for name, own in everything.items():
         if write_snapshots:
-            tree_ids = _ids(own["region_tree"])
-            own["snapshot_plan"] = [{"sheet_name": name, "region_id": tree_ids.get(p.region_range, ""), **_values(p)} for p in plans if p.sheet == name]
-            own["snapshots"] = own["region_images"] = [s | {"region_id": p["region_id"]} for p in own["snapshot_plan"] for s in p["snapshots"] if s["render"]]
-            write_json(folder / "snapshot_plan.json", own["snapshot_plan"])
-        write_json(folder / "info_regions.json", own)
-        everything[name] = own
+            write_json(out / _folder(name) / "snapshot_plan.json", own["snapshot_plan"])
+        write_json(out / _folder(name) / "info_regions.json", own)
     result = {"workbook": str(path), "sheets": everything}
     write_json(out / "info_regions_full.json", result)
-    write_json(out / "info_regions_summary.json", {"workbook": str(path), "sheet_count": len(order), "sheets": {k: {"region_count": len(v["regions"]), "regions": v["regions"]} for k, v in everything.items()}})
+    write_json(out / "info_regions_summary.json", summarize(result))
     return result
 
 
-def _tree_boxes(roots: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """Roots and their inner tables."""
-    return cut(roots.select(*KEY, *SIDES).unionByName(inner_tables(roots, t["cells"], t["merges"]).select(*KEY, *SIDES)).distinct())
+def summarize(result: dict[str, Any]) -> dict[str, Any]:
+    """A row for each sheet: its regions, images and charts, counted and listed."""
+    rows = []
+    for name, own in result["sheets"].items():
+        row = {"sheet_name": name}
+        for one, many, listed in (("region", "regions", own.get("regions", own.get("info_regions", []))), ("image", "images", own.get("images", [])), ("chart", "charts", own.get("charts", []))):
+            row |= {f"{one}_count": len(listed), many: listed}
+        rows.append(row)
+    return {"workbook": result["workbook"], "sheets": rows}
 
 
-def _ids(tree: list[dict]) -> dict[str, str]:
-    out = {}
-    for k, root in enumerate(tree, 1):
-        out[root["range_ref"]] = f"R{k:03d}"
-        out |= {c["range_ref"]: f"R{k:03d}.C{j:02d}" for j, c in enumerate(root["children"], 1)}
-    return out
+def _folder(name: str) -> str:
+    return re.sub(r'[\\/:*?"<>|]', "_", name)
 
 
-def _chart(spark: SparkSession, row, folder: Path, cfg: Config) -> dict[str, Any]:
-    item = {"name": row.name, "kind": row.kind, "range_ref": row.range_ref, "sources": [_values(s) for s in sorted(row.sources or [], key=lambda s: s.n)]}
-    roles = {s["role"]: s for s in reversed(item["sources"])}
-    if not (cfg.extract_chart_images and row.kind == "BarChart" and {"cat", "val"} <= roles.keys()):
-        return item
-    flat = lambda s: s.get("cached_values") or ((s.get("values") or [[]])[0] if len(s.get("values") or []) == 1 else [r[0] for r in s.get("values") or [] if r])
-    labels, values = [x or "" for x in flat(roles["cat"])], [float(x or 0) for x in flat(roles["val"])]
-    if labels and values:
-        bars = bar_geometry(spark.createDataFrame([(labels, values)], "labels array<string>, values array<double>")).collect()
-        canvas = Canvas(900, 420)
-        for b in bars:
-            canvas.rectangle(b.x0, b.y0, b.x1, b.y1, (91, 155, 213))
-            canvas.outline(b.x0, b.y0, b.x1, b.y1, (70, 70, 70))
-        safe = lambda s: re.sub(r"[^0-9A-Za-z가-힣_.()\-]+", "_", s).strip("_") or "chart"
-        file = f"CHART{row.idx:03d}_{safe(row.range_ref)}_{safe(row.name)}.png"
-        (folder / cfg.chart_image_dir).mkdir(parents=True, exist_ok=True)
-        (folder / cfg.chart_image_dir / file).write_bytes(canvas.png())
-        item["path"] = f"{cfg.chart_image_dir}/{file}"
-    return item
+def _images(placed: DataFrame, name: str, out: Path, cfg: Config) -> list[dict[str, Any]]:
+    """The sheet's image files, written one by one as they come; a name used before gets a number."""
+    items, used, to = [], set(), out / _folder(name) / cfg.embedded_image_dir
+    for r in placed.where(F.col("sheet") == name).orderBy("idx").toLocalIterator():
+        file, n = r.file, 2
+        while file in used:
+            file, n = f"{Path(r.file).stem}_{n}{Path(r.file).suffix}", n + 1
+        used.add(file)
+        to.mkdir(parents=True, exist_ok=True)
+        (to / file).write_bytes(bytes(r.data))
+        items.append({"name": r.name, "range_ref": r.range_ref, "path": f"{cfg.embedded_image_dir}/{file}"})
+    return items
+
+
+def _charts(rows: list, folder: Path, cfg: Config) -> list[dict[str, Any]]:
+    """The sheet's charts; bar charts get a picture. A folder that stays empty is removed."""
+    items, to = [], folder / cfg.chart_image_dir
+    safe = lambda s: re.sub(r"[^\w.()\-]", "_", s).strip("_") or "chart"
+    for k, row in enumerate(rows, 1):
+        item = chart_item(row)
+        if cfg.extract_chart_images and row.kind == "BarChart" and (canvas := chart_preview(item)):
+            file = f"CHART{k:03d}_{safe(row.range_ref)}_{safe(row.name)}.png"
+            to.mkdir(parents=True, exist_ok=True)
+            (to / file).write_bytes(canvas.png())
+            item["path"] = f"{cfg.chart_image_dir}/{file}"
+        items.append(item)
+    if to.is_dir() and not any(to.iterdir()):
+        to.rmdir()
+    return items
+
+
+def _pictures(spark: SparkSession, t: dict[str, DataFrame], found: DataFrame, placed: DataFrame | None, everything: dict[str, dict], out: Path, cfg: Config, snapshots: bool) -> None:
+    """Overlays of all sheets and, if asked for, plans and snapshots: one draw list for all of them."""
+    v, views, outlines = cfg.visualization, [], []
+    ids = {name: _ids(own["region_tree"]) for name, own in everything.items()}
+    boxes = {name: {region: _sides(ref) for region, ref in own} for name, own in ids.items()}
+    for name, own in boxes.items():
+        around = [f(b[k] for b in own.values()) for k, f in enumerate((min, min, max, max))]
+        views.append(_view(name, "", tuple(around), (v.get("max_rows", 160), v.get("max_cols", 90)), (v.get("pad_rows", 1), v.get("pad_cols", 1))))
+        outlines += [(name, "", *b) for b in own.values()]
+    workbook, shots = t["sheets"].select("workbook").first().workbook, {}
+    if snapshots:
+        # plans of all boxes of the trees; each region has its own, equal boxes of two roots too
+        refs = placed.select(*KEY, "range_ref") if placed is not None else found.limit(0).select(*KEY, F.lit("").alias("range_ref"))
+        roots = cut(root_boxes(found))
+        both = cut(roots.select(*KEY, *SIDES).unionByName(inner_tables(roots, t["cells"]).select(*KEY, *SIDES)).distinct())
+        plans = {(p.sheet, p.region_range): p for p in snapshot_plan(both, t["cells"].withColumn("text", F.col("cached")), t["merges"], refs).collect()}
+        most = (v.get("snapshot_max_rows", v.get("max_rows", 160)), v.get("snapshot_max_cols", v.get("max_cols", 90)))
+        for name, own in everything.items():
+            for region, ref in ids[name]:
+                p = plans[name, ref]
+                plan = {"sheet_name": name, "region_id": region, "region_range": ref} | {k: p[k] for k in ("row_count", "col_count", "merged_cell_count", "formula_count", "strategy", "snapshot_mode", "is_split")}
+                plan["snapshots"] = [s.asDict() for s in p.snapshots]
+                own["snapshot_plan"].append(plan)
+                for s in plan["snapshots"]:
+                    if s["render"]:
+                        file = _folder(f"{region}_{s['snapshot_id']}_{s['kind']}_{s['range_ref']}.png")
+                        s["path"], shots[name, file] = f"snapshots/{file}", s
+                        views.append(_view(name, file, _sides(s["range_ref"]), most, (v.get("snapshot_pad_rows", 0), v.get("snapshot_pad_cols", 0))))
+                        own["snapshots"].append({"region_id": region} | {k: s[k] for k in ("snapshot_id", "kind", "range_ref", "snapshot_mode", "is_split", "path")})
+            own["region_images"] = own["snapshots"]
+    if not views:
+        return
+    table = lambda rows: spark.createDataFrame([(workbook, *r) for r in rows], "workbook string, sheet string, view string, r0 int, c0 int, r1 int, c1 int")
+    rects: dict[tuple[str, str], list] = {}
+    for r in draw_list(table(views), table(outlines), t, v.get("include_merged_cells", True), v.get("preserve_dimensions", True)).toLocalIterator():
+        rects.setdefault((r.sheet, r.view), []).append(r)
+    for name in everything:
+        folder = out / _folder(name)
+        for old in (folder / "snapshots").glob("*.png") if snapshots else ():
+            old.unlink()
+        for sheet, view, *_ in views:
+            if sheet == name:
+                to = folder / "snapshots" / view if view else folder / "info_regions.png"
+                to.parent.mkdir(parents=True, exist_ok=True)
+                to.write_bytes(picture(rects.get((name, view), []), v.get("scale", 1.0)))
+
+
+def _sides(ref: str) -> tuple[int, int, int, int]:
+    """The sides of a range of two cells."""
+    (a, r0), (b, r1) = (re.match(r"([A-Z]+)(\d+)", x).groups() for x in ref.split(":"))
+    number = lambda letters: sum((ord(ch) - 64) * 26**k for k, ch in enumerate(reversed(letters)))
+    return int(r0), number(a), int(r1), number(b)
+
+
+def _ids(tree: list[dict]) -> list[tuple[str, str]]:
+    """Region ids with their ranges: each root, then its children."""
+    out = []
+    for k, root in enumerate(tree, 1):
+        out.append((f"R{k:03d}", root["range_ref"]))
+        out += [(f"R{k:03d}.C{j:02d}", c["range_ref"]) for j, c in enumerate(root["children"], 1)]
+    return out

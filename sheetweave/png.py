@@ -6,6 +6,20 @@ import struct
 import zlib
 
 
+#: Fixed value: what a theme's colour is shown as.
+THEME = (248, 248, 238)
+
+
+def rgb(color: str | None) -> tuple[int, int, int] | None:
+    """Red, green and blue of RGB or ARGB hex digits; none of a clear or unreadable one."""
+    if color == "theme":
+        return THEME
+    six = (color or "")[-6:]
+    if len(color or "") not in (6, 8) or not all(ch in "0123456789abcdefABCDEF" for ch in color) or color == "00000000":
+        return None
+    return int(six[:2], 16), int(six[2:4], 16), int(six[4:], 16)
+
+
 class Canvas:
     def __init__(self, width: int, height: int, fill: tuple[int, int, int] = (255, 255, 255)):
         self.width, self.height = width, height
