@@ -22,3 +22,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df from rows written to that folder."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes what was written at the path, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
