@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, drop, folder  # noqa: F401  for the operators
+
 U64 = np.uint64
 #: Bytes of text that the numpy kernels take at once; longer single texts are taken alone.
 SLICE_BYTES = 1 << 21
@@ -29,23 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sheetweave-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and goes on from the written rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def salted_join(rows: DataFrame, values: DataFrame, key: str | list[str], spread: str, salts: int = 64) -> DataFrame:
     """rows joined with values on key, where values has a row a key: a hot key's rows are dealt by spread to so many tasks.
 

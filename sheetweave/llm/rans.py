@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import checkpoint_dir
+from .common import drop, folder as shared_folder
 from .pieces import library, text_blocks
 
 TOKENIZER, END = "word_bpe_49k.json", 1
@@ -234,7 +234,7 @@ _BLOCKS = "part int, block int, at long, doc_ids array<long>, sizes array<int>,
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
-    """Writes the files of docs below folder: ids (a working table), blocks and frequencies."""
+    """Writes the files of docs below folder: blocks and frequencies; a working table of ids is deleted again."""
     spark = docs.sparkSession
     tokenized(docs, path).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/ids")
     ids = spark.read.parquet(f"{folder}/ids")
@@ -280,6 +280,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
     ordered = ids.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(encode, _BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
+    drop(spark, f"{folder}/ids")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -315,6 +316,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row, from the files read back."""
-    folder = f"{checkpoint_dir(docs.sparkSession)}/rans-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(docs.sparkSession)}/rans-{uuid.uuid4().hex}"
     write(docs, folder, path)
     return read(docs.sparkSession, folder).drop("ids")
