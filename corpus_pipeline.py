@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and an empty table: rows are judged by
+their own texts, null texts as empty ones, and the near-duplicate stage keeps of rows alike in all but other columns the
+one with the least hash. All but the last return the columns of documents. No texts tie: scores are cut at a threshold.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetweave.llm import bpe, decontamination, quality, simhash, toxicity
-from sheetweave.llm.common import checkpoint_dir, table
+from sheetweave.llm.common import drop, folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows over documents; what a stage wrote is deleted once the next one has read it."""
+    docs, at = table(spark, sf_dir, "documents"), f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{k}-{name}")
+        docs = spark.read.parquet(f"{at}/{k}-{name}")
+        if k:
+            drop(spark, f"{at}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
