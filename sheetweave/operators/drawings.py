@@ -9,6 +9,8 @@ from ..functions.boxes import KEY, SIDES, Box, column_pixels, local_range_ref, p
 from .lineage import cut
 
 EMU_PER_PIXEL = 9525
+#: Pixels of an axis that are looked up together.
+TILE = 4096
 
 
 def pixel_axis(extent: DataFrame, dims: DataFrame, name: str) -> DataFrame:
@@ -21,13 +23,17 @@ def pixel_axis(extent: DataFrame, dims: DataFrame, name: str) -> DataFrame:
 
 
 def line_at(points: DataFrame, axis: DataFrame, name: str, at: str, out: str, last: str) -> DataFrame:
-    """The last line, up to the column last, that starts at or before the pixel; line 1 if there is none. An as-of join."""
-    starts = F.col(name).alias("_line"), F.col("start").alias("_start")
-    end = F.lead("start").over(Window.partitionBy(*KEY).orderBy(name))
-    spans = axis.withColumn("_end", end).select(*KEY, *starts, "_end")
-    here = points.withColumn("_id", F.xxhash64(*points.columns))
-    hit = here.join(spans, [*KEY]).where((F.col("_start") <= F.col(at)) & (F.col("_end").isNull() | (F.col("_end") > F.col(at)))).select("_id", "_line").distinct()
-    return here.join(hit, "_id", "left").withColumn(out, F.least(F.col(last), F.coalesce("_line", F.lit(1))).cast("int")).drop("_id", "_line")
+    """The last line, up to the column last, that starts at or before the pixel; line 1 if there is none. An as-of join.
+
+    Lines and points meet by tiles of TILE pixels, so a point looks at the lines near it and not at all of a sheet.
+    """
+    tile = lambda x: F.floor(x / TILE).cast("long")
+    end = F.col("start") + F.col("size")
+    spans = axis.select(*KEY, F.col(name).alias("_line"), F.col("start").alias("_start"), end.alias("_end"), F.explode(F.sequence(tile(F.col("start")), tile(end - 1))).alias("_tile"))
+    here = points.withColumn("_id", F.xxhash64(*points.columns)).withColumn("_tile", tile(F.col(at)))
+    hit = here.select(*KEY, "_id", "_tile", F.col(at).alias("_at")).distinct().join(spans, [*KEY, "_tile"]).where((F.col("_start") <= F.col("_at")) & (F.col("_end") > F.col("_at"))).select("_id", "_line").distinct()
+    beyond = F.when(F.col(at) >= 0, F.col(last)).otherwise(1)
+    return here.join(hit, "_id", "left").withColumn(out, F.least(F.col(last), F.coalesce("_line", beyond)).cast("int")).drop("_id", "_line", "_tile")
 
 
 def image_pixels(images: DataFrame, cols: DataFrame, rows: DataFrame) -> DataFrame:

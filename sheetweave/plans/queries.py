@@ -253,11 +253,13 @@ def border_occupied(spark, sf_dir):
 
 
 _SIDES_SQL = "sd AS (SELECT sheet, 'top' AS side, r, c FROM cells WHERE s0 IS NOT NULL UNION ALL SELECT sheet, 'bottom', r, c FROM cells WHERE s1 IS NOT NULL UNION ALL SELECT sheet, 'left', r, c FROM cells WHERE s2 IS NOT NULL UNION ALL SELECT sheet, 'right', r, c FROM cells WHERE s3 IS NOT NULL)"
-_EDGES_SQL = f"""{_BOUNDS_SQL}, {_SIDES_SQL}, nm AS (SELECT DISTINCT m.sheet, m.r0, m.c0, m.r1, m.c1 FROM merges m JOIN b ON b.sheet = m.sheet AND m.r0 <= b.r1 AND b.r0 <= m.r1 AND m.c0 <= b.c1 AND b.c0 <= m.c1),
+_EDGE_PARTS = f"""{_SIDES_SQL}, nm AS (SELECT DISTINCT m.sheet, m.r0, m.c0, m.r1, m.c1 FROM merges m JOIN b ON b.sheet = m.sheet AND m.r0 <= b.r1 AND b.r0 <= m.r1 AND m.c0 <= b.c1 AND b.c0 <= m.c1),
 es AS (SELECT sd.* FROM sd JOIN b ON b.sheet = sd.sheet AND r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1
   UNION SELECT sd.* FROM sd JOIN nm ON nm.sheet = sd.sheet AND r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1 AND CASE side WHEN 'top' THEN r = r0 WHEN 'bottom' THEN r = r1 WHEN 'left' THEN c = c0 ELSE c = c1 END),
 e AS (SELECT DISTINCT sheet, CASE WHEN side IN ('top', 'bottom') THEN 'h' ELSE 'v' END AS kind, (r + CASE side WHEN 'bottom' THEN 1 ELSE 0 END)::INT AS a, (c + CASE side WHEN 'right' THEN 1 ELSE 0 END)::INT AS b FROM es)"""
 
+_EDGES_SQL = f"{_BOUNDS_SQL}, {_EDGE_PARTS}"
+
 
 def _edges(spark, sf_dir) -> DataFrame:
     cells = base(spark, sf_dir, "cells")
@@ -325,12 +327,14 @@ _TAKES = f"""({_SHARED} > 0 AND {_SHARED}::DOUBLE / ((f.r1 - f.r0 + 1) * (f.c1 -
   AND greatest(f.r0 - k.r0, k.r1 - f.r1) <= 3 AND greatest(f.c0 - k.c0, k.c1 - f.c1) <= 3 AND {_SHARED}::DOUBLE / ((k.r1 - k.r0 + 1) * (k.c1 - k.c0 + 1)) >= 0.1)"""
 
 
-@query(_with("cells", "merges") + f""", {_BOUNDS_SQL}, {_VALUES_SQL}, {_BORDERED_SQL}, {_boxes_sql('sb', 'SELECT sheet, r, c FROM bo', 2)},
-sn AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY lr, lc) AS n FROM sb),
-fold AS (SELECT sheet, lr, lc, 0::BIGINT AS n, r0, c0, r1, c1 FROM vb UNION ALL SELECT f.sheet, f.lr, f.lc, k.n, CASE WHEN {_TAKES} THEN least(f.r0, k.r0) ELSE f.r0 END, CASE WHEN {_TAKES} THEN least(f.c0, k.c0) ELSE f.c0 END,
+_FOLD_PARTS = f"""{_BORDERED_SQL}, {_boxes_sql('sb', 'SELECT sheet, r, c FROM bo', 2)}, sn AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY lr, lc) AS n FROM sb),
+fold AS (SELECT sheet, lr, lc, 0::BIGINT AS n, r0, c0, r1, c1 FROM {{0}} UNION ALL SELECT f.sheet, f.lr, f.lc, k.n, CASE WHEN {_TAKES} THEN least(f.r0, k.r0) ELSE f.r0 END, CASE WHEN {_TAKES} THEN least(f.c0, k.c0) ELSE f.c0 END,
   CASE WHEN {_TAKES} THEN greatest(f.r1, k.r1) ELSE f.r1 END, CASE WHEN {_TAKES} THEN greatest(f.c1, k.c1) ELSE f.c1 END FROM fold f JOIN sn k ON k.sheet = f.sheet AND k.n = f.n + 1),
-grown AS (SELECT f.sheet, lr, lc, r0, c0, r1, c1 FROM fold f WHERE f.n = (SELECT count(*) FROM sn WHERE sn.sheet = f.sheet)
-  UNION ALL SELECT sheet, lr, lc, r0, c0, r1, c1 FROM sb WHERE NOT EXISTS (SELECT 1 FROM vb WHERE vb.sheet = sb.sheet AND vb.r0 <= sb.r1 AND sb.r0 <= vb.r1 AND vb.c0 <= sb.c1 AND sb.c0 <= vb.c1)),
+folded AS (SELECT f.sheet, lr, lc, r0, c0, r1, c1 FROM fold f WHERE f.n = (SELECT count(*) FROM sn WHERE sn.sheet = f.sheet))"""
+
+
+@query(_with("cells", "merges") + f""", {_BOUNDS_SQL}, {_VALUES_SQL}, {_FOLD_PARTS.format('vb')},
+grown AS (SELECT * FROM folded UNION ALL SELECT sheet, lr, lc, r0, c0, r1, c1 FROM sb WHERE NOT EXISTS (SELECT 1 FROM vb WHERE vb.sheet = sb.sheet AND vb.r0 <= sb.r1 AND sb.r0 <= vb.r1 AND vb.c0 <= sb.c1 AND sb.c0 <= vb.c1)),
 l AS (SELECT sheet, r0, c0, r1, c1, min({{'r': lr, 'c': lc}}) AS l FROM grown GROUP BY ALL)
 SELECT sheet, l.r AS label_row, l.c AS label_col, r0, c0, r1, c1 FROM l""")
 def border_expand(spark, sf_dir):
@@ -339,13 +343,14 @@ def border_expand(spark, sf_dir):
     return borders.expand_to_shells(_value_boxes(cells), shells, cfg).drop("workbook")
 
 
-_TOUCH_SQL = f"""{_EDGES_SQL}, {_EDGE_CC_SQL}, {_VALUES_SQL}, vd AS (SELECT DISTINCT sheet, r0, c0, r1, c1 FROM vb),
+_TOUCH_PARTS = f"""{_EDGE_PARTS}, {_EDGE_CC_SQL}, vd AS (SELECT DISTINCT sheet, r0, c0, r1, c1 FROM vb),
 pl AS (SELECT *, 'top' AS side, 'h' AS kind, r0 AS a, unnest(range(c0, c1 + 1)) AS b FROM vd UNION ALL SELECT *, 'bottom', 'h', r1 + 1, unnest(range(c0, c1 + 1)) FROM vd
   UNION ALL SELECT *, 'left', 'v', unnest(range(r0, r1 + 1)), c0 FROM vd UNION ALL SELECT *, 'right', 'v', unnest(range(r0, r1 + 1)), c1 + 1 FROM vd),
-tc AS (SELECT pl.sheet, r0, c0, r1, c1, component, count(DISTINCT side) AS n_sides FROM pl JOIN ec ON ec.sheet = pl.sheet AND ec.kind = pl.kind AND ec.a = pl.a AND ec.b = pl.b GROUP BY ALL)"""
+hits AS (SELECT pl.sheet, r0, c0, r1, c1, component, count(DISTINCT side) AS n_sides FROM pl JOIN ec ON ec.sheet = pl.sheet AND ec.kind = pl.kind AND ec.a = pl.a AND ec.b = pl.b GROUP BY ALL)"""
+_TOUCH_SQL = f"{_BOUNDS_SQL}, {_VALUES_SQL}, {_TOUCH_PARTS}"
 
 
-@query(_with("cells", "merges") + f", {_TOUCH_SQL} SELECT sheet, r0, c0, r1, c1, component, n_sides FROM tc")
+@query(_with("cells", "merges") + f", {_TOUCH_SQL} SELECT sheet, r0, c0, r1, c1, component, n_sides FROM hits")
 def perimeter_touch(spark, sf_dir):
     boxes = _value_boxes(base(spark, sf_dir, "cells")).select(*KEY, *SIDES).distinct().withColumn("node", F.xxhash64(*SIDES))
     return borders.touched_components(boxes, _edges(spark, sf_dir), Config()).join(boxes, [*KEY, "node"]).select("sheet", *SIDES, "component", "n_sides")
@@ -355,13 +360,16 @@ _NEAR_SQL = f"""NOT ({_CONTAIN}) AND CASE WHEN greatest(b.r0 - a.r1, a.r0 - b.r1
   WHEN greatest(b.c0 - a.c1, a.c0 - b.c1) > 0 THEN greatest(b.c0 - a.c1, a.c0 - b.c1) - 1 <= 1 AND {_OVER.format('r0', 'r1')} >= 0.8 ELSE true END"""
 
 
-@query(_with("cells", "merges") + f""", {_TOUCH_SQL}, vn AS (SELECT *, row_number() OVER (ORDER BY sheet, r0, c0, r1, c1) AS id FROM vd),
-tn AS (SELECT vn.*, component FROM tc JOIN vn USING (sheet, r0, c0, r1, c1) WHERE n_sides >= 2),
+_MERGE_PARTS = f"""vn AS (SELECT *, row_number() OVER (ORDER BY sheet, r0, c0, r1, c1) AS id FROM vd),
+tn AS (SELECT vn.*, component FROM hits JOIN vn USING (sheet, r0, c0, r1, c1) WHERE n_sides >= 2),
 pr AS (SELECT DISTINCT a.sheet, a.id AS x, b.id AS y FROM tn a JOIN tn b ON a.sheet = b.sheet AND a.component = b.component AND a.id <> b.id WHERE {_NEAR_SQL}),
 {_keyed_sql('gc', 'SELECT sheet, id FROM vn', 'SELECT * FROM pr')},
 mb AS (SELECT vn.sheet, comp, min(r0) AS r0, min(c0) AS c0, max(r1) AS r1, max(c1) AS c1, sum((r1 - r0 + 1) * (c1 - c0 + 1)) AS total FROM vn JOIN gc ON gc.sheet = vn.sheet AND gc.id = vn.id GROUP BY vn.sheet, comp),
-fit AS (SELECT *, (r1 - r0 + 1) * (c1 - c0 + 1) <= total * 2.5 AS fits FROM mb)
-SELECT sheet, r0, c0, r1, c1 FROM fit WHERE fits UNION SELECT vn.sheet, vn.r0, vn.c0, vn.r1, vn.c1 FROM vn JOIN gc ON gc.sheet = vn.sheet AND gc.id = vn.id JOIN fit ON fit.sheet = gc.sheet AND fit.comp = gc.comp WHERE NOT fits""")
+fit AS (SELECT *, (r1 - r0 + 1) * (c1 - c0 + 1) <= total * 2.5 AS fits FROM mb),
+joined AS (SELECT sheet, r0, c0, r1, c1 FROM fit WHERE fits UNION SELECT vn.sheet, vn.r0, vn.c0, vn.r1, vn.c1 FROM vn JOIN gc ON gc.sheet = vn.sheet AND gc.id = vn.id JOIN fit ON fit.sheet = gc.sheet AND fit.comp = gc.comp WHERE NOT fits)"""
+
+
+@query(_with("cells", "merges") + f", {_TOUCH_SQL}, {_MERGE_PARTS} SELECT * FROM joined")
 def contact_merge(spark, sf_dir):
     cfg = Config(use_border_contact_merge=True)
     return borders.merge_by_contact(_value_boxes(base(spark, sf_dir, "cells")).select(*KEY, *SIDES).distinct(), _edges(spark, sf_dir), cfg).drop("workbook")
@@ -523,3 +531,17 @@ def safe_names(spark, sf_dir):
     media = F.concat(F.lit("xl/media/image"), F.element_at(F.array(F.lit(".PNG"), F.lit(".emf"), F.lit(".tiff"), F.lit("")), (k + 1).cast("int")))
     data = F.when(k == 3, F.lit("GIF89a")).otherwise(F.lit("x")).cast("binary")
     return c.select(F.col("c_custkey").alias("id"), safe_name(F.concat("c_name", F.lit("/:"), "c_custkey")).alias("safe"), safe_filename_part(name).alias("part"), image_extension(media, data).alias("extension"))
+
+
+@query(_with("cells", "merges") + f""", vm AS (SELECT m.* FROM merges m WHERE EXISTS (SELECT 1 FROM cells k WHERE k.sheet = m.sheet AND k.r = m.r0 AND k.c = m.c0 AND k.txt <> '')),
+b AS (SELECT sheet, greatest(1, min(r0) - 2)::INT AS r0, greatest(1, min(c0) - 2)::INT AS c0, (max(r1) + 2)::INT AS r1, (max(c1) + 2)::INT AS c1 FROM (SELECT sheet, r AS r0, c AS c0, r AS r1, c AS c1 FROM cells WHERE txt <> '' UNION ALL SELECT sheet, r0, c0, r1, c1 FROM vm) GROUP BY 1),
+mr AS (SELECT sheet, unnest(range(r0, r1 + 1)) AS r, c0, c1 FROM vm), mc AS (SELECT sheet, r, unnest(range(c0, c1 + 1)) AS c FROM mr), occ AS (SELECT sheet, r, c FROM cells WHERE txt <> '' UNION SELECT sheet, r::INT, c::INT FROM mc),
+{_boxes_sql('ob', 'SELECT sheet, r, c FROM occ')}, {_FOLD_PARTS.format('ob')}, vb AS (SELECT sheet, r0, c0, r1, c1 FROM folded), {_TOUCH_PARTS}, {_MERGE_PARTS}
+SELECT sheet, row_number() OVER (PARTITION BY sheet ORDER BY r0, c0, r1, c1) AS ordinal, {_ref_sql()} AS range_ref FROM joined""")
+def bordered_regions(spark, sf_dir):
+    """Regions with merged ranges, growth to border shells and merging over contact."""
+    cells = base(spark, sf_dir, "cells")
+    dims = cells.limit(0).select(*KEY, "row", "col", F.lit(0.0).alias("height"), F.lit(0.0).alias("width"), F.lit(False).alias("hidden"))
+    t = {"cells": cells, "merges": base(spark, sf_dir, "merges"), "row_dims": dims, "col_dims": dims, "sheets": None, "sheet_size": None}
+    cfg = Config(include_images=False, include_charts=False, connectivity=4, strong_borders_only=True, use_border_contact_merge=True, bounds_padding_rows=2, bounds_padding_cols=2)
+    return regions.information_regions(t, cfg).select("sheet", F.col("ordinal").cast("long").alias("ordinal"), "range_ref")
