@@ -210,20 +210,24 @@ class Coder:
         at = np.array([struct.unpack_from("<I", body, k * width)[0] for k in range(first, last)], np.int64)
         state = np.array([np.frombuffer(body, np.uint64, lanes, offset=k * width + 4) for k in range(first, last)], np.uint64).reshape(-1, lanes)
         out = np.zeros((last - first, CHECKPOINT, lanes), self.symbol.dtype)
-        left = n - (np.arange(first, last) * CHECKPOINT * lanes)
+        end = n - (last - 1) * CHECKPOINT * lanes  # ids of the last stretch, which alone may be short
         for s in range(CHECKPOINT):
-            live = np.arange(lanes) < (left - s * lanes)[:, None]
-            if not live.any():
+            rows = len(out) - (end <= s * lanes)
+            if not rows:
                 break
-            slot = state & np.uint64((1 << SCALE) - 1)
+            x = state[:rows]
+            slot = x & np.uint64((1 << SCALE) - 1)
             ids = self.symbol[slot]
-            out[:, s] = ids
-            x = self.freq[ids] * (state >> np.uint64(SCALE)) + slot - self.start[ids]
-            low = (x < LOW) & live
-            place = at[:, None] + np.cumsum(low, axis=1) - 1
-            x[low] = (x[low] << np.uint64(32)) | stream[place[low]]
-            at += low.sum(axis=1)
-            state = np.where(live, x, state)
+            out[:rows, s] = ids
+            x = self.freq[ids] * (x >> np.uint64(SCALE)) + slot - self.start[ids]
+            low = x < LOW
+            if rows == len(out) and end < (s + 1) * lanes:
+                low[-1, end - s * lanes :] = False
+            count = np.count_nonzero(low, axis=1)
+            place = np.arange(count.sum()) + np.repeat(at[:rows] - np.cumsum(count) + count, count)
+            x[low] = (x[low] << np.uint64(32)) | stream[place]
+            at[:rows] += count
+            state[:rows] = x
         ids = out.ravel()[: max(0, min(n, last * CHECKPOINT * lanes) - first * CHECKPOINT * lanes)].astype("<u4")
         if (first, last) == (0, marks) and zlib.crc32(ids.tobytes()) != ids_crc:
             raise ValueError("a block's token ids differ from those written")
