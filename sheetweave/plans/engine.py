@@ -19,7 +19,7 @@ from ..operators.occupancy import clip_boxes, print_area, visible_boxes
 from ..operators.regions import information_regions, summary
 from ..operators.snapshots import snapshot_plan
 from ..operators.tree import inner_tables, region_tree, root_boxes
-from ..png import Canvas, rgb
+from ..png import Canvas, decode, rgb
 from ..sources.xlsx import read_workbooks
 
 
@@ -122,55 +122,79 @@ def chart_preview(item: dict[str, Any]) -> Canvas | None:
         canvas.rectangle(left, y, left + width, y, (220, 220, 220))
     canvas.rectangle(left, top + height, left + width, top + height + 1, (80, 80, 80))
     canvas.rectangle(left, top, left + 1, top + height, (80, 80, 80))
-    for k, (x0, y0, x1, y1) in enumerate(bars([float(v or 0) for v in values])):
+    canvas.text(left, 18, item["name"], (30, 30, 30), 3, width)
+    numbers = [float(v or 0) for v in values]
+    for k, (x0, y0, x1, y1) in enumerate(bars(numbers)):
         canvas.rectangle(x0, y0, x1, y1, PALETTE[k % len(PALETTE)])
         canvas.outline(x0, y0, x1, y1, (70, 70, 70))
+        canvas.text(x0, y0 - 14, f"{numbers[k]:g}", (40, 40, 40))
+        canvas.text(x0, y1 + 8, str(labels[k] if k < len(labels) and labels[k] is not None else "")[:14], (40, 40, 40))
     return canvas
 
 
-def draw_list(views: DataFrame, regions: DataFrame, t: dict[str, DataFrame], merged: bool = True, preserve: bool = True) -> DataFrame:
-    """Rectangles of each view's picture in pixels, by layer: fills of cells, of merged ranges, lines of borders, regions.
+def draw_list(views: DataFrame, regions: DataFrame, t: dict[str, DataFrame], merged: bool = True, preserve: bool = True, text: bool = True) -> DataFrame:
+    """Rectangles of each view's picture in pixels, by layer: fills of merged ranges, of cells, lines of borders, pasted pictures, texts, regions.
 
-    views has a row for each picture: workbook, sheet, view and the sides shown. All axes are worked out once a sheet.
+    views has a row for each picture: workbook, sheet, view and the sides shown; regions, and pictures
+    to be pasted, have a layer and a label. A text lies on its cell's merged range, if there is one, and is cut at its end. All axes are worked out once a sheet.
     """
-    own = views.select(*KEY, "view", *(F.col(s).alias("v_" + s) for s in SIDES))
+    seen_in = views.select(*KEY, "view", *(F.col(s).alias("v_" + s) for s in SIDES))
     last = views.groupBy(*KEY).agg(F.max("r1").alias("bottom"), F.max("c1").alias("far"))
+    # a size of zero or less is shown as the least there is
+    shown_as = lambda c: F.when(F.col(c) <= 0, F.lit(-1.0)).otherwise(F.col(c)).alias("size")
     dims = (lambda df: df) if preserve else (lambda df: df.limit(0))
-    rows = pixel_axis(last.select(*KEY, F.col("bottom").alias("last")), dims(t["row_dims"].select(*KEY, "row", F.col("height").alias("size"))), "row")
-    cols = pixel_axis(last.select(*KEY, F.col("far").alias("last")), dims(t["col_dims"].select(*KEY, "col", F.col("width").alias("size"))), "col")
+    rows = pixel_axis(last.select(*KEY, F.col("bottom").alias("last")), dims(t["row_dims"].select(*KEY, "row", shown_as("height"))), "row")
+    cols = pixel_axis(last.select(*KEY, F.col("far").alias("last")), dims(t["col_dims"].select(*KEY, "col", shown_as("width"))), "col")
     none = F.lit(None).cast("string")
     cell = [F.col(x).alias(s) for s, x in zip(SIDES, ("row", "col", "row", "col"), strict=True)]
-    shown = t["cells"].where(is_non_empty(F.col("text")) | F.col("fill").isNotNull())
-    parts = shown.select(*KEY, F.lit(0).alias("layer"), *cell, F.col("fill").alias("color"), none.alias("side"))
+    shown = t["cells"].where(is_non_empty(F.col("cached")) | F.col("fill").isNotNull())
+    parts = shown.select(*KEY, F.lit(1).alias("layer"), *cell, F.col("fill").alias("color"), none.alias("note"))
     if merged:
-        parts = parts.unionByName(t["merges"].select(*KEY, F.lit(1).alias("layer"), *SIDES, none.alias("color"), none.alias("side")))
-    parts = parts.unionByName(cell_sides(t["cells"]).select(*KEY, F.lit(2).alias("layer"), *cell, none.alias("color"), "side"))
-    parts = parts.withColumn("view", none).unionByName(regions.select(*KEY, F.lit(3).alias("layer"), *SIDES, none.alias("color"), none.alias("side"), "view"))
-    seen = parts.withColumnRenamed("view", "only").join(own, [*KEY]).where(F.col("only").isNull() | (F.col("only") == F.col("view"))).drop("only")
+        parts = parts.unionByName(t["merges"].select(*KEY, F.lit(0).alias("layer"), *SIDES, none.alias("color"), none.alias("note")))
+    parts = parts.unionByName(cell_sides(t["cells"]).select(*KEY, F.lit(2).alias("layer"), *cell, none.alias("color"), F.col("side").alias("note")))
+    if text:
+        spans = t["merges"].select(*KEY, *SIDES) if merged else t["merges"].limit(0).select(*KEY, *SIDES)
+        own = t["cells"].where(is_non_empty(F.col("cached"))).select(*KEY, F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("cached").alias("note"))
+        own = own.join(spans, [*KEY, "r0", "c0"], "left").withColumn("r1", F.coalesce("r1", "r0")).withColumn("c1", F.coalesce("c1", "c0"))
+        parts = parts.unionByName(own.select(*KEY, F.lit(4).alias("layer"), *SIDES, none.alias("color"), "note"))
+    parts = parts.withColumn("view", none).unionByName(regions.select(*KEY, "layer", *SIDES, none.alias("color"), F.col("label").alias("note"), "view"))
+    seen = parts.withColumnRenamed("view", "only").join(seen_in, [*KEY]).where(F.col("only").isNull() | (F.col("only") == F.col("view"))).drop("only")
     clip = Box().clip(Box("v_"))
-    seen = seen.where(clip.valid).select(*KEY, "view", "layer", "color", "side", *clip.columns(), F.col("v_r0").alias("top"), F.col("v_c0").alias("left_"))
+    seen = seen.where(clip.valid).select(*KEY, "view", "layer", "color", "note", *clip.columns(), F.col("v_r0").alias("top"), F.col("v_c0").alias("left_"))
     for side, axis, name, to, end in (("r0", rows, "row", "y0", False), ("c0", cols, "col", "x0", False), ("r1", rows, "row", "y1", True), ("c1", cols, "col", "x1", True), ("top", rows, "row", "oy", False), ("left_", cols, "col", "ox", False)):
         line = axis.select(*KEY, F.col(name).alias(side), ((F.col("start") + F.col("size") - 1) if end else F.col("start")).alias(to))
         seen = seen.join(line, [*KEY, side])
     px = lambda a, o: (F.col(a) - F.col(o)).cast("int").alias(a)
-    return seen.select(*KEY, "view", "layer", "color", "side", px("x0", "ox"), px("y0", "oy"), px("x1", "ox"), px("y1", "oy"))
+    return seen.select(*KEY, "view", "layer", "color", "note", px("x0", "ox"), px("y0", "oy"), px("x1", "ox"), px("y1", "oy"))
 
 
-def picture(rects: list, scale: float = 1.0) -> bytes:
-    """A view's rectangles as a PNG; one white pixel where there are none."""
+#: Layers of a picture.
+PASTED, REGION = 3, 5
+
+
+def picture(rects: list, scale: float = 1.0, pasted: dict[str, Canvas | None] | None = None) -> bytes:
+    """A view's rectangles as a PNG, pasted pictures by their labels; a few white points where there are none."""
     at = lambda x: round(x * scale)
     canvas = Canvas(max((at(r.x1) for r in rects), default=0) + 2, max((at(r.y1) for r in rects), default=0) + 2)
     for r in sorted(rects, key=lambda r: (r.layer, r.y0, r.x0)):
         x0, y0, x1, y1 = map(at, (r.x0, r.y0, r.x1, r.y1))
         if r.layer == 0:
-            canvas.rectangle(x0, y0, x1, y1, rgb(r.color) or (225, 232, 245))
-        elif r.layer == 1:
             canvas.rectangle(x0, y0, x1, y1, (238, 238, 248))
+        elif r.layer == 1:
+            canvas.rectangle(x0, y0, x1, y1, rgb(r.color) or (225, 232, 245))
         elif r.layer == 2:
             edge = {"top": (x0, y0, x1, y0), "bottom": (x0, y1, x1, y1), "left": (x0, y0, x0, y1), "right": (x1, y0, x1, y1)}
-            canvas.rectangle(*edge[r.side], (90, 90, 90))
+            canvas.rectangle(*edge[r.note], (90, 90, 90))
+        elif r.layer == PASTED:
+            canvas.rectangle(x0, y0, x1, y1, (245, 245, 245))
+            if other := (pasted or {}).get(r.note):
+                canvas.paste(other, x0, y0, x1, y1)
+            canvas.outline(x0, y0, x1, y1, (160, 160, 160))
+        elif r.layer == 4:
+            canvas.text(x0 + 3, max(y0 + 1, y1 - 12), r.note.replace("\n", " "), (30, 30, 30), room=x1 - x0 - 3)
         else:
             canvas.outline(x0, y0, x1, y1, (220, 40, 40), 2)
+            canvas.text(x0 + 3, y0 + 3, r.note, (220, 40, 40), 1)
     return canvas.png()
 
 
@@ -256,13 +280,21 @@ def _charts(rows: list, folder: Path, cfg: Config) -> list[dict[str, Any]]:
 
 def _pictures(spark: SparkSession, t: dict[str, DataFrame], found: DataFrame, placed: DataFrame | None, everything: dict[str, dict], out: Path, cfg: Config, snapshots: bool) -> None:
     """Overlays of all sheets and, if asked for, plans and snapshots: one draw list for all of them."""
-    v, views, outlines = cfg.visualization, [], []
+    v, views, outlines, pasted = cfg.visualization, [], [], {}
     ids = {name: _ids(own["region_tree"]) for name, own in everything.items()}
     boxes = {name: {region: _sides(ref) for region, ref in own} for name, own in ids.items()}
     for name, own in boxes.items():
         around = [f(b[k] for b in own.values()) for k, f in enumerate((min, min, max, max))]
         views.append(_view(name, "", tuple(around), (v.get("max_rows", 160), v.get("max_cols", 90)), (v.get("pad_rows", 1), v.get("pad_cols", 1))))
-        outlines += [(name, "", *b) for b in own.values()]
+        outlines += [(name, "", *b, REGION, region) for region, b in own.items()]
+        if v.get("include_images", True):
+            here = everything[name]
+            for item in here["images"]:
+                pasted[item["path"]] = decode((out / _folder(name) / item["path"]).read_bytes())
+                outlines.append((name, "", *_sides(item["range_ref"]), PASTED, item["path"]))
+            for k, item in enumerate(here["charts"]):
+                pasted[f"{name} {k}"] = chart_preview(item)  # of any kind
+                outlines.append((name, "", *_sides(item["range_ref"]), PASTED, f"{name} {k}"))
     workbook, shots = t["sheets"].select("workbook").first().workbook, {}
     if snapshots:
         # plans of all boxes of the trees; each region has its own, equal boxes of two roots too
@@ -286,9 +318,9 @@ def _pictures(spark: SparkSession, t: dict[str, DataFrame], found: DataFrame, pl
             own["region_images"] = own["snapshots"]
     if not views:
         return
-    table = lambda rows: spark.createDataFrame([(workbook, *r) for r in rows], "workbook string, sheet string, view string, r0 int, c0 int, r1 int, c1 int")
+    table = lambda rows, more="": spark.createDataFrame([(workbook, *r) for r in rows], "workbook string, sheet string, view string, r0 int, c0 int, r1 int, c1 int" + more)
     rects: dict[tuple[str, str], list] = {}
-    for r in draw_list(table(views), table(outlines), t, v.get("include_merged_cells", True), v.get("preserve_dimensions", True)).toLocalIterator():
+    for r in draw_list(table(views), table(outlines, ", layer int, label string"), t, v.get("include_merged_cells", True), v.get("preserve_dimensions", True), v.get("include_cell_text", True)).toLocalIterator():
         rects.setdefault((r.sheet, r.view), []).append(r)
     for name in everything:
         folder = out / _folder(name)
@@ -298,7 +330,7 @@ def _pictures(spark: SparkSession, t: dict[str, DataFrame], found: DataFrame, pl
             if sheet == name:
                 to = folder / "snapshots" / view if view else folder / "info_regions.png"
                 to.parent.mkdir(parents=True, exist_ok=True)
-                to.write_bytes(picture(rects.get((name, view), []), v.get("scale", 1.0)))
+                to.write_bytes(picture(rects.get((name, view), []), v.get("scale", 1.0), pasted))
 
 
 def _sides(ref: str) -> tuple[int, int, int, int]:

@@ -136,6 +136,14 @@ def test_image_sizes():
     assert [image_pixels(x) for x in (Canvas(7, 5).png(), b"", webp, tiff, b"II*\0")] == [(7, 5), (64, 64), (200, 100), (320, 240), (64, 64)]
 
 
+def test_texts_are_cut_at_their_room():
+    canvas, dark = Canvas(40, 10), (0, 0, 0)
+    canvas.text(1, 1, "I1é", dark, 1, room=8)
+    shown = [[canvas.rows[y][3 * x] == 0 for x in range(12)] for y in range(1, 6)]
+    assert [[int(v) for v in row[1:4]] for row in shown] == [[1, 1, 1], [0, 1, 0], [0, 1, 0], [0, 1, 0], [1, 1, 1]]
+    assert any(any(row[5:8]) for row in shown) and not any(any(row[9:]) for row in shown)
+
+
 def test_workbooks_as_they_arrive(spark, tmp_path):
     (tmp_path / "in").mkdir()
     workbook(tmp_path / "in/a.xlsx", [("S", "visible", sheet_xml({"B2": "x"}))])
