@@ -25,7 +25,7 @@ from .pieces import ChunkEncoder, id_lists, library, text_blocks
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces and chunks, each, that a Python worker remembers; workers outlive their stage, so it bounds what they hold. No result depends on it.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -124,8 +124,15 @@ def encode(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
     return docs.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """id, decoded binary of the ids (null: none); with keep_ids also the ids."""
+def _decoded(ids: np.ndarray, sizes: np.ndarray, path: str) -> pa.Array:
+    """The bytes of rows of so many ids each."""
+    ends = np.concatenate([[0], np.cumsum(_byte_table(path)[2][ids])])[np.concatenate([[0], np.cumsum(sizes)])]
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(decode_bytes(ids, path))])
+    return raw.cast(pa.binary())
+
+
+def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id") -> DataFrame:
+    """id, decoded binary of the ids (null: none)."""
     id_type = encoded.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,18 +141,30 @@ def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id
             step = 256
             for at in range(0, batch.num_rows, step):
                 lists = batch.column(1).slice(at, step)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
                 sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-                raw = decode_bytes(ids, where)
-                bytes_to = np.concatenate([[0], np.cumsum(_byte_table(where)[2][ids])])[np.concatenate([[0], np.cumsum(sizes)])]
-                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bytes_to.astype(np.int64).tobytes()), pa.py_buffer(raw)])
-                columns = [batch.column(0).slice(at, step), decoded.cast(pa.binary()), *([lists] if keep_ids else [])]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "decoded", "ids"][: len(columns)])
+                decoded = _decoded(lists.flatten().to_numpy(zero_copy_only=False), sizes, where)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, step), decoded], names=[id_column, "decoded"])
+
+    return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {id_type}, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids and the bytes decoded from them, both made by the same worker."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = path or vocabulary_path(RANKS)
+        encoder = token_encoder(where)
+        for batch in batches:
+            for at, block in text_blocks(batch.column(1)):
+                lists = id_lists(encoder.encode(block))
+                decoded = _decoded(lists.values.to_numpy(), np.diff(lists.offsets.to_numpy()), where)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), lists, decoded], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {id_type}, decoded binary" + ", ids array<int>" * keep_ids)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    both = decode(encode(docs, path), path, keep_ids=True)
+    both = round_trip(docs, path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
