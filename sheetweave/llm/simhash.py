@@ -215,7 +215,7 @@ def _linked(keyed: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
         if held:
             yield flush(held)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lambda batches: _stars(run(batches)), "a long, b long")
 
 
 def _stars(batches: Iterator[pa.RecordBatch], most: int = WHOLE) -> Iterator[pa.RecordBatch]:
@@ -243,14 +243,14 @@ def _stars(batches: Iterator[pa.RecordBatch], most: int = WHOLE) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in star()], names=["a", "b"])
 
 
-def components(pairs: DataFrame, whole: int = WHOLE, most: int = 60) -> DataFrame:
+def components(pairs: DataFrame, whole: int = WHOLE, most: int = 60, starred: bool = False) -> DataFrame:
     """node, root: the smallest node that each node of the pairs a, b reaches.
 
-    Each task first makes its own links stars. Of what is left, at most whole links are finished by one task, which that
+    Each task first makes its own links stars (which starred ones are by the same Python worker that found them). Of what is left, at most whole links are finished by one task, which that
     number bounds; more of them go through alternating star steps over all executors until nothing changes.
     """
     stars = lambda df: df.mapInArrow(_stars, "a long, b long")
-    edges = cut(stars(pairs.select("a", "b")))
+    edges = cut(pairs.select("a", "b") if starred else stars(pairs.select("a", "b")))
     if edges.count() <= whole:
         return stars(edges.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     return _by_star_steps(edges, most)
@@ -283,7 +283,7 @@ def _by_star_steps(pairs: DataFrame, most: int) -> DataFrame:
 def _members(marked: DataFrame, radius: int) -> DataFrame:
     """fp, least (the smallest id of the fingerprint's rows), root of every distinct fingerprint."""
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(marked.select("fp").distinct(), radius))
+    found = components(links(marked.select("fp").distinct(), radius), starred=True)
     return groups.join(found, groups.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
@@ -344,7 +344,7 @@ def similar_links(docs: DataFrame, grouped: DataFrame, least: float = LEAST, wid
         if held:
             yield flush()
 
-    return met.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    return met.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(lambda batches: _stars(run(batches)), "a long, b long")
 
 
 def coarse_groups(marked: DataFrame) -> DataFrame:
@@ -353,14 +353,14 @@ def coarse_groups(marked: DataFrame) -> DataFrame:
     least = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash", "n")
     texts = per_row.groupBy("text_hash", "fp").agg(F.min(least).alias("least"))
     keyed = marked.select("fp", F.explode("keys").alias("key")).distinct()
-    found = components(_linked(keyed, FILTER))
+    found = components(_linked(keyed, FILTER), starred=True)
     return texts.join(found, texts.fp == found.node, "left").select("text_hash", "fp", F.struct("least.doc_id", "least.text_hash").alias("row"), "least", F.coalesce("root", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     """A row of docs for each component of texts alike by least in their sets of width-word shingles."""
     grouped = cut(coarse_groups(cut(_marks(docs, width))))
-    found = components(similar_links(docs, grouped, least, width, group))
+    found = components(similar_links(docs, grouped, least, width, group), starred=True)
     member = grouped.drop("root").join(found, grouped.text_hash == found.node, "left")
     return kept_rows(docs, member.select("least", F.coalesce("root", "text_hash").alias("root")))
 
