@@ -159,15 +159,15 @@ class Workbook:
         at = lambda items, k: items[k] if 0 <= k < len(items) else {}
         return [at(sides, _number(xf.get("borderId"), 0)) | at(fills, _number(xf.get("fillId"), 0)) for xf in root.findall(f"{_S}cellXfs/{_S}xf")]
 
-    def rows(self) -> Iterator[dict]:
-        """The rows of all tables."""
+    def rows(self, sheet: str | None = None, visible_only: bool = False) -> Iterator[dict]:
+        """The rows of all tables, of one sheet or of all, or of those that aren't hidden."""
         book, rels = self._root("xl/workbook.xml"), self.rels("xl/workbook.xml")
         areas = {_number(d.get("localSheetId"), -1): d.text for d in book.findall(f"{_S}definedNames/{_S}definedName") if d.get("name") == "_xlnm.Print_Area"}
         for k, s in enumerate(book.findall(f"{_S}sheets/{_S}sheet")):
             kind, part = rels.get(s.get(f"{_R}id"), ("", ""))
-            if kind != "worksheet":
-                continue
             name, found = s.get("name"), []
+            if kind != "worksheet" or (sheet and name != sheet) or (visible_only and not sheet and s.get("state", "visible") != "visible"):
+                continue
             if part not in self.names:
                 found = self._try([], part or "xl/workbook.xml", lambda: self.zip.read(part) and [], name)
                 continue
@@ -290,15 +290,15 @@ class Workbook:
         return self._row("charts", name, idx=number, title=title, kind=CHART_KINDS[plot.tag.removeprefix(_C)], series=series, **{k: place.get(k) for k in ("from_row", "from_col", "to_row", "to_col")})
 
 
-def _rows(path: str, content: bytes) -> Iterator[dict]:
+def _rows(path: str, content: bytes, sheet: str | None, visible_only: bool) -> Iterator[dict]:
     try:
-        yield from Workbook(content, path).rows()
+        yield from Workbook(content, path).rows(sheet, visible_only)
     except Exception as e:  # noqa: BLE001  whatever is wrong with one file, the others go on
         yield {"table": "errors", "workbook": path, "sheet": None, "part": None, "error": f"{type(e).__name__}: {e}"}
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Rows of all tables, in the wide schema, of files given by path and content."""
+def parse_files(files: DataFrame, sheet: str | None = None, visible_only: bool = False) -> DataFrame:
+    """Rows of all tables, in the wide schema, of files given by path and content; a named sheet is taken whatever its state."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -308,7 +308,7 @@ def parse_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 held, size = [], 0
-                for row in _rows(path.as_py(), content.as_py()):
+                for row in _rows(path.as_py(), content.as_py(), sheet, visible_only):
                     held.append(row)
                     size += len(row.get("data") or b"")
                     if len(held) >= ROWS or size > 1 << 24:
@@ -329,11 +329,9 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
 def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None, visible_only: bool = False) -> dict[str, DataFrame]:
     """The tables of all workbooks at a path. A named sheet is taken whatever its state; else hidden ones may be left out.
 
-    The errors table holds what couldn't be read, of all sheets.
+    The errors table holds what couldn't be read of these.
     """
     to = f"{folder(spark)}/workbooks-{uuid.uuid4().hex}"
-    parse_files(spark.read.format("binaryFile").load(path)).write.partitionBy("table").parquet(to)  # each file is parsed once
-    t = tables(spark.read.schema(WIDE).parquet(to))
-    pick = t["sheets"].where(F.col("sheet") == sheet) if sheet else t["sheets"].where("state = 'visible'") if visible_only else t["sheets"]
-    names = pick.select(*KEY)
-    return {k: pick if k == "sheets" else v if k == "errors" else v.join(names, [*KEY], "left_semi") for k, v in t.items()}
+    files = spark.read.format("binaryFile").load(path)
+    parse_files(files, sheet, visible_only).write.partitionBy("table").parquet(to)  # each file is parsed once
+    return tables(spark.read.schema(WIDE).parquet(to))
