@@ -17,16 +17,16 @@ from .occupancy import border_occupied_cells, cell_boxes, clip_boxes, effective_
 def information_regions(t: dict[str, DataFrame], cfg: Config) -> DataFrame:
     """workbook, sheet, ordinal, sides, range_ref; t holds the normalised tables of sources.xlsx.
 
-    Branches that the settings switch off are not built.
+    Branches that the settings switch off, or for which there are no drawings at all, are not built.
     """
     hidden = (t["row_dims"].where("hidden").select(*KEY, "row"), t["col_dims"].where("hidden").select(*KEY, "col"))
     respect = cfg.respect_hidden_rows_cols
     cells, merges, size = t["cells"], t["merges"], t["sheet_size"]
     see = (lambda b: visible_boxes(b, *hidden)) if respect else (lambda b: b)
     drawings = []
-    if cfg.include_images:
+    if cfg.include_images and not t["images"].isEmpty():
         drawings.append(image_regions(t["images"], t["row_dims"], t["col_dims"], size, cfg.include_grouped_drawing_images))
-    if cfg.include_charts:
+    if cfg.include_charts and not t["charts"].isEmpty():
         drawings.append(chart_boxes(t["charts"]).select(*KEY, *SIDES).distinct())
     drawings = [cut(see(d)) for d in drawings]
     filled = non_empty_cells(cells)
