@@ -4,13 +4,15 @@ Every word is predicted from the words on both sides of it. A small network read
 itself left out, and predicts the word in steps: its class (the OWN most frequent words have one each, the others share one
 by the first bits of their hash), then bit by bit its id's path in a binary tree. At the first NODES nodes a decision has a
 bias from the counts of the words below it and a weight for each of UNITS hidden units; below them words are told apart by
-their counts (and by the landmarks). The product over the path is a distribution over the vocabulary. The ids' number
+their counts (and by the contexts'). The product over the path is a distribution over the vocabulary. The ids' number
 grows with the corpus (WORDS_AN_ID words an id) up to 2**MOST_BITS, which bounds the counts that are broadcast; beyond it
 rare words share an id.
 
-At a LANDMARK-th of all contexts (chosen by the hash of both neighbours) what the corpus holds there is counted exactly,
-in a distributed table that grows with it: a word seen c times among n has max(c - DISCOUNT, 0) / n, and what the
-discount leaves goes to the network's distribution. The sum of the logs of these conditional probabilities scores a text.
+At every context (both neighbours of a word) what the corpus holds there is counted exactly, in a distributed table that
+grows with it: a word seen c times among n has max(c - DISCOUNT, 0) / n, and what the discount leaves goes to the network's
+distribution. The sum of the logs of these conditional probabilities scores a text. Texts are packed once into blocks of
+about BLOCK_BYTES; a block sends its different pairs of context and word to the parts of the contexts' hashes, as sorted
+arrays, and gets the counts back in the same order. Words and contexts are told apart by hashes of 64 bits.
 
 The network is trained in numpy over all words. Rows are dealt to training shards of about SHARD_BYTES by hashes of their
 ids and texts and taken in the order of these; every shard starts from the same network and the results are averaged in
@@ -22,20 +24,27 @@ are scored each, alike; long texts are scored whole. Columns other than doc_id a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, column_buffer, cut, mix, salted_join, slices, word_hashes
+from .common import U64, column_buffer, cut, mix, slices, word_hashes
 
 CLASSES, OWN, FIRST_BITS = 64, 32, 5
 REACH, DIM, HIDDEN, BATCH, RATE = 2, 8, 16, 4096, 0.08
 LEAST_BITS, MOST_BITS, WORDS_AN_ID, NODE_BITS, UNITS = 13, 22, 16, 13, 8
 NODES = 1 << NODE_BITS
-SHARD_BYTES, LANDMARK, DISCOUNT = 4 << 20, 32, 0.75
+SHARD_BYTES, DISCOUNT = 4 << 20, 0.75
+#: One of so many contexts is counted: all are.
+LANDMARK = 1
+#: Bytes of text of a block, and those whose words' contexts a part of the counts has on average.
+BLOCK_BYTES, PART_BYTES = 16 << 20, 16 << 20
 _SHAPES = ((CLASSES + 1, DIM), (2 * REACH * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (NODES, UNITS))
 #: Whole numbers to which trained parameters are scaled to be added up, and the parameters of a row of them.
 _UNIT, _CHUNK = 1 << 24, 1 << 12
@@ -269,56 +278,188 @@ def trained(docs: DataFrame, tables, network: Network, n_bytes: int) -> Network:
     return Network(network.flat + total[: len(network.flat)] / max(1, int(total[-1])) * 1024 / _UNIT)
 
 
-def scored_words(docs: DataFrame, tables, parameters) -> DataFrame:
-    """row (doc_id and the text's hash), n_words, total (log-probabilities by the network of words away from landmarks), marks.
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of their bytes, as many as the largest needs."""
+    values = values.astype("<u8")
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    A mark is a word at a landmark: its context, its hash and its log-probability by the network.
-    """
-    mark = pa.struct([("context", pa.int64()), ("word", pa.int64()), ("p", pa.float64())])
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The texts by blocks: block, the rows' doc_ids and lengths of text, and all their bytes compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(parameters.value)
+        block, zstd = TaskContext.get().partitionId() << 32, pa.Codec("zstd", 3)
         for batch in batches:
-            for a, b, hashes, bounds in _blocks(batch.column(1)):
-                each = own.log_likelihood(_ids(hashes, tables.value.bits), bounds, tables.value)
-                context = contexts(hashes, bounds)
-                at = np.flatnonzero(context % U64(LANDMARK) == 0)
-                marks = pa.StructArray.from_arrays([pa.array(context[at].view(np.int64)), pa.array(hashes[at].view(np.int64)), pa.array(each[at])], fields=[*mark])
-                each[at] = 0
-                total = np.array([x.sum() for x in np.split(each, bounds[1:-1])])
-                columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(total), pa.ListArray.from_arrays(np.searchsorted(at, bounds).astype(np.int32), marks)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_words", "total", "marks"])
+            raw, offsets = column_buffer(batch.column(1))
+            for a, b in slices(offsets, BLOCK_BYTES):
+                text = zstd.compress(raw[offsets[a] : offsets[b]].tobytes(), asbytes=True)
+                ids = pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), ids, pa.array([_packed(np.diff(offsets[a : b + 1]))]), pa.array([text])], names=["block", "doc_ids", "lengths", "text"])
+                block += 1
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "block long, doc_ids array<long>, lengths binary, text binary")
+
+
+def _texts(lengths: bytes, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of a block's words, and each row's range of them, by slices of its rows."""
+    offsets = np.concatenate([[0], np.cumsum(_unpacked(lengths).astype(np.int64))])
+    raw = np.frombuffer(pa.decompress(text, int(offsets[-1]), "zstd", asbytes=True), np.uint8)
+    for a, b in slices(offsets):
+        yield word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
+def _order(context: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The order by context and word; only what shares a context is sorted by word."""
+    order = np.argsort(context)
+    first = _firsts(context[order])
+    alone = first.copy()
+    alone[:-1] &= first[1:]
+    at = np.flatnonzero(~alone)
+    order[at] = order[at][np.lexsort((words[order[at]], np.cumsum(first)[at]))]
+    return order
+
+
+def pairs(context: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of context and word in order, how often each occurs, and the index of each word's pair."""
+    order = _order(context, words)
+    context, words = context[order], words[order]
+    first = _firsts(context, words)
+    at, of = np.flatnonzero(first), np.empty(len(order), np.int64)
+    of[order] = np.cumsum(first) - 1
+    return context[at], words[at], np.diff(np.append(at, len(order))), of
 
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("text_hash"))
-    scored = rows.mapInArrow(run, "doc_id long, text_hash long, n_words long, total double, marks array<struct<context:long,word:long,p:double>>")
-    return scored.select(F.struct("doc_id", "text_hash").alias("row"), "n_words", "total", "marks")
 
+def _together(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    context = [contexts(hashes, bounds) for hashes, bounds in texts]
+    return pairs(np.concatenate(context), np.concatenate([hashes for hashes, _ in texts]))
 
-def remembered(marks: DataFrame) -> DataFrame:
-    """context, word, c, n, d: how often the word occurs in the context, how many words do, and how many different ones."""
-    each = marks.groupBy("context", "word").agg(F.count("*").alias("c"))
-    return each.join(each.groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("d")), "context")
+
+def counted(blocks: DataFrame, parts: int) -> DataFrame:
+    """block, part and for the block's pairs in that part, in order, c: how often the corpus holds the pair; and for their
+    contexts n and d: how many words it holds there, and how many different ones."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lengths, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                context, words, times, _ = _together(list(_texts(lengths, text)))
+                part = ((context >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+                own, at = np.unique(part, return_index=True)
+                rows = []
+                for a, b in zip(at, np.append(at[1:], len(part)), strict=True):
+                    first = np.flatnonzero(_firsts(context[a:b]))
+                    vocabulary, index = np.unique(words[a:b], return_inverse=True)
+                    columns = np.diff(context[a:b][first], prepend=U64(0)), np.diff(np.append(first, b - a)), np.diff(vocabulary, prepend=U64(0)), index, times[a:b]
+                    rows.append([_packed(x) for x in columns])
+                if rows:
+                    names = ["block", "part", "gaps", "sizes", "vocabulary", "words", "times"]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), pa.array(own, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for block, part, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(part, []).append((block, columns))
+        for part in list(held):
+            sent = held.pop(part)
+            context, words, times, heads = [], [], [], []
+            for _, columns in sent:
+                gaps, sizes, vocabulary, index, often = map(_unpacked, columns)
+                context.append(np.repeat(np.cumsum(gaps), sizes.astype(np.int64)))
+                words.append(np.cumsum(vocabulary)[index.astype(np.int64)])
+                times.append(often.astype(np.int64))
+                heads.append(np.cumsum(sizes.astype(np.int64)) - sizes.astype(np.int64))
+            ends = np.cumsum([len(x) for x in context])
+            blocks = [block for block, _ in sent]
+            del sent
+            context, words, times = map(np.concatenate, (context, words, times))
+            order = _order(context, words)
+            context, words, times = context[order], words[order], times[order]
+            new, other = _firsts(context, words), _firsts(context)
+            del words, context
+            pair, where = np.flatnonzero(new), np.flatnonzero(other)
+            c, n, d = np.empty_like(times), np.empty_like(times), np.empty_like(times)
+            c[order] = np.repeat(np.add.reduceat(times, pair), np.diff(np.append(pair, len(times))))
+            size = np.diff(np.append(where, len(times)))
+            n[order] = np.repeat(np.add.reduceat(times, where), size)
+            d[order] = np.repeat(np.add.reduceat(new.astype(np.int64), where), size)
+            for block, a, b, head in zip(blocks, [0, *ends], ends, heads, strict=False):
+                columns = _packed(c[a:b]), _packed(n[a:b][head]), _packed(d[a:b][head])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.int32()), *(pa.array([zlib.compress(x, 1)], pa.binary()) for x in columns)], names=["block", "part", "c", "n", "d"])
+
+    sent = blocks.select("block", "lengths", "text").mapInArrow(send, "block long, part int, gaps binary, sizes binary, vocabulary binary, words binary, times binary")
+    return sent.repartition(F.col("part")).mapInArrow(count, "block long, part int, c binary, n binary, d binary")
+
+
+def scored_words(blocks: DataFrame, counts: DataFrame, tables, parameters) -> DataFrame:
+    """doc_id, n_words, log_likelihood, memory of every row: the sum of its words' log-probabilities by the counts at their
+    contexts and the network, and the share of them whose word stands there elsewhere too."""
+
+    def score(block: pa.Table, counts: pa.Table) -> pa.Table:
+        network, counts = Network(parameters.value), counts.sort_by("part")
+        texts = list(_texts(block["lengths"][0].as_py(), block["text"][0].as_py()))
+        context, _, _, of = _together(texts)
+        c, n, d = (np.concatenate([np.zeros(0), *(_unpacked(zlib.decompress(x)) for x in counts[k].to_pylist())]) for k in "cnd")
+        at = np.cumsum(_firsts(context)) - 1
+        del context
+        held, spared = np.maximum(c - DISCOUNT, 0) / n[at], DISCOUNT * (d / n)[at]
+        n_words, total, memory, done = [], [], [], 0
+        for hashes, bounds in texts:
+            pair = of[done : done + len(hashes)]
+            done += len(hashes)
+            network_p = np.exp(network.log_likelihood(_ids(hashes, tables.value.bits), bounds, tables.value))
+            each = np.log(held[pair] + spared[pair] * network_p)
+            n_words.append(np.diff(bounds))
+            total += [x.sum() for x in np.split(each, bounds[1:-1])]
+            memory += [x.mean() if len(x) else 0.0 for x in np.split(c[pair] > 1, bounds[1:-1])]
+        ids = block["doc_ids"].combine_chunks().flatten()
+        return pa.Table.from_arrays([ids, pa.array(np.concatenate(n_words), pa.int64()), pa.array(total, pa.float64()), pa.array(memory, pa.float64())], names=["doc_id", "n_words", "log_likelihood", "memory"])
+
+    together = blocks.groupBy("block").cogroup(counts.groupBy("block"))
+    return together.applyInArrow(score, "doc_id long, n_words long, log_likelihood double, memory double")
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The files of a query's shuffles are deleted as it ends, where they would lie beside the next one's."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_likelihood, perplexity of every row, and memory: the share of its landmarks whose word stands there elsewhere too."""
+    """doc_id, n_words, log_likelihood, perplexity of every row, and memory: the share of its words that stand between the same neighbours elsewhere too."""
     sc = docs.sparkSession.sparkContext
-    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first().n
-    tables = sc.broadcast(Tables(corpus_counts(docs, vocabulary_bits(n_bytes))))
-    parameters = sc.broadcast(trained(docs, tables, Network.start(tables.value.share), n_bytes).flat)
-    scored = cut(scored_words(docs, tables, parameters))
+    with _shuffles_removed(docs.sparkSession):
+        n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first().n
+        tables = sc.broadcast(Tables(corpus_counts(docs, vocabulary_bits(n_bytes))))
+        parameters = sc.broadcast(trained(docs, tables, Network.start(tables.value.share), n_bytes).flat)
+        blocks = cut(packed(docs))
+        counts = cut(counted(blocks, max(1, n_bytes // PART_BYTES)))
+        scored = cut(scored_words(blocks, counts, tables, parameters))
     tables.unpersist()
     parameters.unpersist()
-    marks = scored.select("row", F.explode("marks").alias("m")).select("row", "m.*")
-    known = salted_join(marks, remembered(marks), ["context", "word"], "row")
-    held = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("n")
-    spared = DISCOUNT * F.col("d") / F.col("n")
-    # rows that are alike have the same marks: their sums are shared out evenly
-    sums = known.groupBy("row").agg(F.sum(F.log(held + spared * F.exp("p"))).alias("recalled"), F.avg((F.col("c") > 1).cast("double")).alias("memory"))
-    alike = scored.groupBy("row").agg(F.count("*").alias("alike"))
-    found = sums.join(alike, "row")
-    out = scored.select("row", "n_words", "total").join(found, "row", "left")
-    likelihood = F.col("total") + F.coalesce(F.col("recalled") / F.col("alike"), F.lit(0.0))
-    out = out.select("row.doc_id", "n_words", likelihood.alias("log_likelihood"), F.coalesce("memory", F.lit(0.0)).alias("memory"))
-    return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.exp(-F.col("log_likelihood") / F.col("n_words"))).alias("perplexity"), "memory")
+    perplexity = F.when(F.col("n_words") > 0, F.exp(-F.col("log_likelihood") / F.col("n_words")))
+    return scored.select("doc_id", "n_words", "log_likelihood", perplexity.alias("perplexity"), "memory")

@@ -203,6 +203,31 @@ def test_landmarks_by_a_plain_count(spark, corpus):
     assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_every_context_is_counted(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 5000, raising=False)
+    monkeypatch.setattr(lm, "PART_BYTES", 9000, raising=False)
+    docs = docs_of(spark, corpus)
+    n_bytes = sum(len(t or "") for _, t in corpus)
+    tables = lm.Tables(lm.corpus_counts(docs, lm.vocabulary_bits(n_bytes)))
+    net = lm.trained(docs, spark.sparkContext.broadcast(tables), lm.Network.start(tables.share), n_bytes)
+    places, seen = [], {}
+    for _, t in corpus:
+        words = ["<", *(t or "").split(), ">"]
+        places.append([((words[k - 1], words[k + 1]), words[k]) for k in range(1, len(words) - 1)])
+        for around, word in places[-1]:
+            seen.setdefault(around, {}).setdefault(word, 0)
+            seen[around][word] += 1
+    want = []
+    for (i, t), own in zip(corpus, places, strict=True):
+        hashes = word_hashes(*text_buffer([t or ""]))[0]
+        p = np.exp(net.log_likelihood(lm._ids(hashes, tables.bits), np.array([0, len(hashes)]), tables))
+        share = [(seen[a][w] - lm.DISCOUNT + lm.DISCOUNT * len(seen[a]) * x) / sum(seen[a].values()) for (a, w), x in zip(own, p, strict=True)]
+        want.append((str(i), len(own), sum(map(math.log, share)), np.mean([seen[a][w] > 1 for a, w in own]) if own else 0))
+    got = [(str(r.doc_id), r.n_words, r.log_likelihood, r.memory) for r in lm.pseudo_likelihood(docs).collect()]
+    assert len(got) == len(want)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 and abs(a[3] - b[3]) < 1e-9 for a, b in zip(sorted(got), sorted(want), strict=True))
+
+
 def test_pages_of_rows_that_no_bit_parts(spark):
     rng = random.Random(1)
     rows = [(None, "x" * rng.randint(0, 40)) for _ in range(300)] + [(7, "y" * 10)] * 250 + [(8, "z" * 500)]
