@@ -44,7 +44,7 @@ SHARD_BYTES, DISCOUNT = 4 << 20, 0.75
 #: One of so many contexts is counted: all are.
 LANDMARK = 1
 #: Bytes of text of a block, and those whose words' contexts a part of the counts has on average.
-BLOCK_BYTES, PART_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 _SHAPES = ((CLASSES + 1, DIM), (2 * REACH * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (NODES, UNITS))
 #: Whole numbers to which trained parameters are scaled to be added up, and the parameters of a row of them.
 _UNIT, _CHUNK = 1 << 24, 1 << 12
@@ -403,7 +403,7 @@ def counted(blocks: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.int32()), *(pa.array([zlib.compress(x, 1)], pa.binary()) for x in columns)], names=["block", "part", "c", "n", "d"])
 
     sent = blocks.select("block", "lengths", "text").mapInArrow(send, "block long, part int, gaps binary, sizes binary, vocabulary binary, words binary, times binary")
-    return sent.repartition(F.col("part")).mapInArrow(count, "block long, part int, c binary, n binary, d binary")
+    return sent.repartition(parts, F.col("part")).mapInArrow(count, "block long, part int, c binary, n binary, d binary")
 
 
 def scored_words(blocks: DataFrame, counts: DataFrame, tables, parameters) -> DataFrame:
