@@ -80,8 +80,8 @@ def contact_pairs(boxes: DataFrame, edges: DataFrame, cfg) -> DataFrame:
     """a, b: nodes of boxes that touch the same border component and are neighbours."""
     touched = touched_components(boxes, edges, cfg).where(F.col("n_sides") >= cfg.border_contact_min_touched_sides)
     placed = touched.join(boxes.select(*KEY, "node", *SIDES), [*KEY, "node"]).select(*KEY, "component", "node", *SIDES)
-    near = Box().contact_neighbour(Box("o_"), cfg.border_contact_merge_max_gap, cfg.border_contact_merge_min_axis_overlap)
-    met = meeting_pairs(placed, "node", cfg.border_contact_merge_max_gap, ["component"]).where(near)
+    near = lambda a, b: a.contact_neighbour(b, cfg.border_contact_merge_max_gap, cfg.border_contact_merge_min_axis_overlap)
+    met = meeting_pairs(placed, "node", cfg.border_contact_merge_max_gap, ["component"], near)
     return met.select(*KEY, F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import KEY, MAX_COL, MAX_ROW, SIDES, Box, has_style, is_non_empty, parse_range
+from .lineage import cut
 
 _SIDE_NAMES = ("left", "right", "top", "bottom")
 
@@ -155,28 +156,50 @@ def without_holders(boxes: DataFrame, holders: DataFrame, more, also: list[str]
     return boxes.join(found.select(*same, *SIDES).distinct(), [*same, *SIDES], "left_anti").select(*boxes.columns)
 
 
-def meeting_pairs(boxes: DataFrame, name: str, gap: int = 0, also: list[str] | None = None) -> DataFrame:
+#: So many boxes of the same place are one row of the tiles at most, and so many boxes make a part of the join.
+COPIES, PART = 1_024, 4_096
+
+
+def meeting_pairs(boxes: DataFrame, name: str, gap: int = 0, also: list[str] | None = None, near=None, flat: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of boxes of a sheet that meet, or would if one were larger by gap on all sides: name < o_<name>, sides under "" and "o_".
 
     Each pair is found in the tiles of the larger box's size, so its cost follows the boxes that lie near each other.
+    Boxes of the same place go through the tiles as one row and are written out once places have met, under
+    near(box, other) too, which must hold both ways or not at all. Sides named in flat don't place a box.
     """
     same, edge = [*KEY, *(also or [])], gap + 1 if gap else 0
-    grown = [F.greatest(F.lit(1), F.col("r0") - edge), F.greatest(F.lit(1), F.col("c0") - edge), F.col("r1") + edge, F.col("c1") + edge]
-    own = boxes.select(*same, name, *SIDES, *(x.cast("int").alias("_g_" + s) for s, x in zip(SIDES, grown, strict=True)))
-    own = own.withColumn("_own", F.ceil(F.log2(F.greatest(Box("_g_").height, Box("_g_").width).cast("double"))).cast("int"))
+    place = [F.lit(1) if s in flat else F.col(s) for s in SIDES]
+    own = boxes.select(*same, name, *SIDES, *(x.cast("int").alias("_p_" + s) for s, x in zip(SIDES, place, strict=True)))
+    by = [*same, *("_p_" + s for s in SIDES)]
+    dealt = own.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(name)) - 1) / COPIES))
+    units = dealt.groupBy(*by, "_part").agg(F.collect_list(F.struct(name, *(s for s in SIDES if flat))).alias("_all"))
+    p = Box("_p_")
+    grown = [F.greatest(F.lit(1), p.r0 - edge), F.greatest(F.lit(1), p.c0 - edge), p.r1 + edge, p.c1 + edge]
+    units = units.select("*", *(x.cast("int").alias("_g_" + s) for s, x in zip(SIDES, grown, strict=True)))
+    units = cut(units.withColumn("_own", F.ceil(F.log2(F.greatest(Box("_g_").height, Box("_g_").width).cast("double"))).cast("int")))
+    used = units.groupBy("_own").agg(F.sum(F.size("_all")).alias("n")).collect()
+    parts = 1 + min(sum(r.n for r in used) // PART, 4_095)
+    levels = F.array(*(F.lit(k) for k in sorted(r["_own"] for r in used))) if used else F.array(F.lit(0))
     tile = lambda x: F.expr(f"shiftright({x}, _level)")
-    tiled = lambda df: df.select("*", F.explode(F.sequence(tile("_g_r0"), tile("_g_r1"))).alias("_tr")).select("*", F.explode(F.sequence(tile("_g_c0"), tile("_g_c1"))).alias("_tc"))
-    large = tiled(own.withColumn("_level", F.col("_own"))).select(*same, "_level", "_tr", "_tc", F.col(name).alias("o_" + name), *(F.col(s).alias("o_" + s) for s in SIDES), *(F.col("_g_" + s).alias("_h_" + s) for s in SIDES))
-    small = tiled(own.select("*", F.explode(F.sequence(F.col("_own"), F.lit(LEVELS))).alias("_level")))
-    both = Box("_g_").clip(Box("_h_"))
-    # a pair counts in one tile only: that of the first cell that both cover; of equal sizes, from the smaller name
+    met = [*same, "_level", "_tr", "_tc"]
+    tiled = lambda df: df.select("*", F.explode(F.sequence(tile("_g_r0"), tile("_g_r1"))).alias("_tr")).select("*", F.explode(F.sequence(tile("_g_c0"), tile("_g_c1"))).alias("_tc")).repartition(parts, *met)
+    large = tiled(units.withColumn("_level", F.col("_own"))).select(*met, F.col("_part").alias("_o_part"), F.col("_all").alias("_o_all"), *(F.col("_p_" + s).alias("_q_" + s) for s in SIDES), *(F.col("_g_" + s).alias("_h_" + s) for s in SIDES))
+    small = tiled(units.select("*", F.explode(F.filter(levels, lambda k: k >= F.col("_own"))).alias("_level")))
+    both, q = Box("_g_").clip(Box("_h_")), Box("_q_")
+    # a pair counts in one tile only: that of the first cell that both cover; of equal sizes, from the smaller place
     once = (F.expr("shiftright(greatest(_g_r0, _h_r0), _level)") == F.col("_tr")) & (F.expr("shiftright(greatest(_g_c0, _h_c0), _level)") == F.col("_tc"))
-    first = (F.col("_own") < F.col("_level")) | (F.col(name) < F.col("o_" + name))
-    found = small.join(large, [*same, "_level", "_tr", "_tc"]).where(both.valid & once & first & (F.col(name) != F.col("o_" + name)))
-    swap = F.col(name) > F.col("o_" + name)
-    side = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    here, there = (F.struct(*(b + s for s in SIDES), part) for b, part in (("_p_", "_part"), ("_q_", "_o_part")))
+    first = (F.col("_own") < F.col("_level")) | (here <= there)
+    found = small.join(large, met).where(both.valid & once & first & (near(p, q) if near else F.lit(True)))
+    found = found.withColumn("_self", p.same(q) & (F.col("_part") == F.col("_o_part")))
     names = [name, *SIDES]
-    return found.select(*same, *(side(n, "o_" + n).alias(n) for n in names), *(side("o_" + n, n).alias("o_" + n) for n in names))
+    every = found.withColumn("_x", F.explode("_all")).withColumn("_y", F.explode("_o_all"))
+    at = lambda x, b, n: F.col(f"{x}.{n}") if flat or n == name else F.col(b + n)
+    every = every.select(*same, "_self", *(at("_x", "_p_", n).alias("_a_" + n) for n in names), *(at("_y", "_q_", n).alias("_b_" + n) for n in names))
+    a, b = F.col("_a_" + name), F.col("_b_" + name)
+    every = every.where(F.when(F.col("_self"), a < b).otherwise(a != b))
+    side = lambda n, x, y: F.when(a > b, F.col(y + n)).otherwise(F.col(x + n))
+    return every.select(*same, *(side(n, "_a_", "_b_").alias(n) for n in names), *(side(n, "_b_", "_a_").alias("o_" + n) for n in names))
 
 
 def remove_contained(boxes: DataFrame) -> DataFrame:

@@ -157,6 +157,20 @@ def test_pairs_and_containment_by_tiles_match_all_pairs(spark):
     assert {r.id for r in occupancy.remove_contained(df).collect()} == {b[0] for b in boxes if not any(holds(a, b) and area(a) > area(b) for a in boxes)}
 
 
+def test_copies_of_a_box_meet_as_one(spark, monkeypatch):
+    """More copies than one row of the tiles takes: every pair of them once, places compared once."""
+    monkeypatch.setattr(occupancy, "COPIES", 3)
+    rng, place = random.Random(7), [(1, 1, 2, 2), (2, 2, 5, 3), (9, 9, 9, 9), (2, 8, 2, 12)]
+    boxes = [(*K, k, *rng.choice(place)) for k in range(40)]
+    df = spark.createDataFrame(boxes, "workbook string, sheet string, id long, r0 int, c0 int, r1 int, c1 int")
+    meet = lambda a, b, lo: a[3 + lo] <= b[5 + lo] and b[3 + lo] <= a[5 + lo]
+    pairs = [(a, b) for a in boxes for b in boxes if a[2] < b[2]]
+    whole = lambda out: sorted((r.id, r.r0, r.c0, r.r1, r.c1, r.o_id, r.o_r0, r.o_c0, r.o_r1, r.o_c1) for r in out.collect())
+    assert whole(occupancy.meeting_pairs(df, "id")) == sorted(a[2:] + b[2:] for a, b in pairs if meet(a, b, 0) and meet(a, b, 1))
+    assert whole(occupancy.meeting_pairs(df, "id", flat=("c0", "c1"))) == sorted(a[2:] + b[2:] for a, b in pairs if meet(a, b, 0))
+    assert whole(occupancy.meeting_pairs(df, "id", near=lambda a, b: a.contains(b) | b.contains(a))) == sorted(a[2:] + b[2:] for a, b in pairs if a[3:] == b[3:])
+
+
 def test_area_guard_keeps_a_group_apart(spark):
     points, styles = grid((1, 1, 9, 4))
     edges = borders.border_edges(cells_of(spark, points, **styles), None, boxes_of(spark, [(1, 1, 20, 20)]))
