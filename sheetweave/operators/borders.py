@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import KEY, SIDES, Box, has_style
 from .components import edge_components, pair_components
-from .occupancy import meeting_pairs, on_sheet, visible_cells, within
+from .lineage import cut
+from .occupancy import meeting, meeting_pairs, visible_cells, within
 
 
 def cell_sides(cells: DataFrame, strong: bool = False) -> DataFrame:
@@ -56,16 +59,31 @@ def outline_cells(boxes: DataFrame) -> DataFrame:
 
 
 def expand_to_shells(boxes: DataFrame, shells: DataFrame, cfg) -> DataFrame:
-    """Boxes after growing, in the order of the shells' first cells, to each shell that suits what they have grown to."""
-    listed = shells.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label_row", "label_col", *SIDES))).alias("shells"))
-    grow = lambda acc, b: F.when(Box(acc).takes_shell(Box(b), cfg), Box(acc).union(Box(b)).struct()).otherwise(acc)
-    start = Box().struct()
-    grown = boxes.join(listed, [*KEY], "left").withColumn("g", F.when(F.col("shells").isNull(), start).otherwise(F.aggregate("shells", start, grow)))
-    out = grown.select(*KEY, F.coalesce("label_row", "r0").alias("label_row"), F.coalesce("label_col", "c0").alias("label_col"), "g.*")
+    """Boxes after growing, in the order of the shells' first cells, to each shell that suits what they have grown to.
+
+    In a round every box finds, among the shells that it meets, the first after the one it took last that suits it and
+    is not within it: those before leave it as it is. Rounds go on with the boxes that grew, until none does.
+    """
+    order = F.struct("label_row", "label_col", *SIDES)
+    ranked = cut(shells.select(*KEY, *SIDES, order.alias("o")).distinct())
+    label = [F.coalesce("label_row", "r0").cast("int").alias("label_row"), F.coalesce("label_col", "c0").cast("int").alias("label_col")]
+    # boxes of a sheet that lie alike grow alike
+    first = cut(boxes.groupBy(*KEY, *SIDES).agg(F.min(F.struct(*label)).alias("l")).withColumn("id", F.monotonically_increasing_id()))
+    left, done = first.select(*KEY, "id", "l", *Box().columns(), F.lit(None).cast(ranked.schema["o"].dataType).alias("last")), []
+    after = lambda: F.col("last").isNull() | (F.col("o") > F.col("last"))
+    while True:
+        met = meeting(left, ranked, lambda a, b: a.takes_shell(b, cfg) & ~a.contains(b) & after())
+        step = cut(left.join(met.groupBy("id").agg(F.min("o").alias("o")), "id", "left"))
+        done.append(step.where("o is null").select(*KEY, "l", *SIDES))
+        grew = step.where("o is not null")
+        if grew.isEmpty():
+            break
+        left = grew.select(*KEY, "id", "l", *Box().union(Box(F.col("o"))).columns(), F.col("o").alias("last"))
+    out = reduce(DataFrame.unionByName, done)
     if cfg.add_border_only_regions:
-        alone = shells.alias("a").join(boxes.select(*KEY, *SIDES).alias("b"), on_sheet("a", "b") & Box("a.").intersects(Box("b.")), "left_anti")
-        out = out.unionByName(alone.select(*KEY, "label_row", "label_col", *SIDES))
-    return out.groupBy(*KEY, *SIDES).agg(F.min(F.struct("label_row", "label_col")).alias("l")).select(*KEY, "l.*", *SIDES)
+        alone = ranked.join(meeting(ranked, first).select(*KEY, *SIDES, "o").distinct(), [*KEY, *SIDES, "o"], "left_anti")
+        out = out.unionByName(alone.select(*KEY, F.struct("o.label_row", "o.label_col").alias("l"), *SIDES))
+    return out.groupBy(*KEY, *SIDES).agg(F.min("l").alias("l")).select(*KEY, "l.*", *SIDES)
 
 
 def touched_components(boxes: DataFrame, edges: DataFrame, cfg) -> DataFrame:

@@ -171,6 +171,29 @@ def test_copies_of_a_box_meet_as_one(spark, monkeypatch):
     assert whole(occupancy.meeting_pairs(df, "id", near=lambda a, b: a.contains(b) | b.contains(a))) == sorted(a[2:] + b[2:] for a, b in pairs if a[3:] == b[3:])
 
 
+def test_boxes_grow_to_the_shells_they_meet(spark):
+    """As a plain fold over all shells does, without a list of a sheet's shells for every box; one box grows twice."""
+    rng, cfg = random.Random(5), Config(add_border_only_regions=True)
+    one = lambda n, most: [(k, 1, r, c, r + rng.randint(0, most), c + rng.randint(0, most)) for k in range(n) for r, c in [(rng.randint(1, 30), rng.randint(1, 30))]]
+    boxes, shells = one(60, 5) + [(60, 1, 52, 52, 55, 55)], one(90, 8) + [(90, 1, 51, 52, 55, 56), (91, 1, 51, 51, 57, 57), (92, 1, 70, 70, 71, 71)]
+    cut = lambda a, b: max(0, min(a[2], b[2]) - max(a[0], b[0]) + 1) * max(0, min(a[3], b[3]) - max(a[1], b[1]) + 1)
+    area = lambda a: (a[2] - a[0] + 1) * (a[3] - a[1] + 1)
+    grown = [(*x[:2], *x[2:]) for x in shells if not any(cut(x[2:], y[2:]) for y in boxes)]
+    for n, c, *a in boxes:
+        for _, _, *b in sorted(shells):
+            both = cut(a, b)
+            if both and both / area(a) >= 0.8 and area(b) <= 3 * area(a) and max(a[0] - b[0], b[2] - a[2]) <= 3 and max(a[1] - b[1], b[3] - a[3]) <= 3 and both / area(b) >= 0.1:
+                a = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
+        grown.append((n, c, *a))
+    expected = {}
+    for n, c, *a in grown:
+        expected[tuple(a)] = min(expected.get(tuple(a), (n, c)), (n, c))
+    df = lambda rows: spark.createDataFrame([(*K, *r) for r in rows], "workbook string, sheet string, label_row int, label_col int, r0 int, c0 int, r1 int, c1 int")
+    out = borders.expand_to_shells(df(boxes), df(shells), cfg)
+    assert {(r.r0, r.c0, r.r1, r.c1): (r.label_row, r.label_col) for r in out.collect()} == expected and (51, 51, 57, 57) in expected and (70, 70, 71, 71) in expected
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_area_guard_keeps_a_group_apart(spark):
     points, styles = grid((1, 1, 9, 4))
     edges = borders.border_edges(cells_of(spark, points, **styles), None, boxes_of(spark, [(1, 1, 20, 20)]))
