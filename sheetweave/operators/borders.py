@@ -117,7 +117,24 @@ def merge_by_contact(boxes: DataFrame, edges: DataFrame, cfg) -> DataFrame:
 
 
 def has_closed_border(boxes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Boxes whose whole outline is drawn by their own cells; lines of cells beside a box don't count."""
-    lines = outline_cells(boxes.select(*KEY, *SIDES).distinct())
-    drawn = lines.join(cell_sides(cells), [*KEY, "side", "row", "col"]).groupBy(*KEY, *SIDES).count()
-    return drawn.where(F.col("count") == 2 * (Box().height + Box().width)).select(*KEY, *SIDES)
+    """Boxes whose whole outline is drawn by their own cells; lines of cells beside a box don't count.
+
+    A cell of the outline is one row with a bit for each side that it must have, and so is a cell with its sides.
+    """
+    bit = {"top": 1, "bottom": 2, "left": 4, "right": 8}
+    flag = lambda on, name: F.when(on, F.lit(bit[name])).otherwise(F.lit(0))
+    r, c = F.col("row"), F.col("col")
+    at = lambda row, col: F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"))
+    rows = F.when(F.col("r0") < F.col("r1"), F.array("r0", "r1")).otherwise(F.array("r0"))
+    across = F.flatten(F.transform(F.sequence("c0", "c1"), lambda k: F.transform(rows, lambda x: at(x, k))))
+    cols = F.when(F.col("c0") < F.col("c1"), F.array("c0", "c1")).otherwise(F.array("c0"))
+    inner = F.when(F.col("r1") - F.col("r0") > 1, F.sequence(F.col("r0") + 1, F.col("r1") - 1)).otherwise(F.array().cast("array<int>"))
+    down = F.flatten(F.transform(inner, lambda k: F.transform(cols, lambda x: at(k, x))))
+    tried = boxes.select(*KEY, *Box().columns()).distinct().select("*", F.explode(F.concat(across, down)).alias("e")).select(*KEY, *SIDES, "e.*")
+    need = flag(r == F.col("r0"), "top") + flag(r == F.col("r1"), "bottom") + flag(c == F.col("c0"), "left") + flag(c == F.col("c1"), "right")
+    drawn = sum((flag(has_style(F.col(n), False), n) for n in bit), F.lit(0))
+    seen = cells.select(*KEY, r.cast("int").alias("row"), c.cast("int").alias("col"), drawn.alias("drawn")).where("drawn > 0")
+    seen = seen.groupBy(*KEY, "row", "col").agg(F.bit_or("drawn").alias("drawn"))
+    kept = tried.withColumn("need", need).join(seen, [*KEY, "row", "col"]).where(F.col("drawn").bitwiseAND(F.col("need")) == F.col("need"))
+    size = F.when(Box().height == 1, Box().width).when(Box().width == 1, Box().height).otherwise(2 * (Box().height + Box().width) - 4)
+    return kept.groupBy(*KEY, *SIDES).count().where(F.col("count") == size).select(*KEY, *SIDES)

@@ -194,6 +194,17 @@ def test_boxes_grow_to_the_shells_they_meet(spark):
     assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
+def test_closed_borders_of_all_shapes(spark):
+    """Lines, single cells and boxes, by cells that may be given twice."""
+    rng, names = random.Random(3), ("left", "right", "top", "bottom")
+    rows = [(*K, r, c, "x", *("thin" if rng.random() < 0.9 else None for _ in names)) for r in range(1, 9) for c in range(1, 9)] + [(*K, 1, 1, "x", "thin", None, None, None)] * 2
+    cells = spark.createDataFrame(rows, "workbook string, sheet string, row int, col int, text string, left string, right string, top string, bottom string")
+    sides = {(r[2], r[3], n) for r in rows for n, v in zip(names, r[5:], strict=True) if v}
+    boxes = [(a, b, c, d) for a in range(1, 8) for b in range(1, 8) for c in range(a, min(a + 4, 9)) for d in range(b, min(b + 4, 9))]
+    closed = lambda a, b, c, d: all((a, k, "top") in sides and (c, k, "bottom") in sides for k in range(b, d + 1)) and all((k, b, "left") in sides and (k, d, "right") in sides for k in range(a, c + 1))
+    assert sorted((r.r0, r.c0, r.r1, r.c1) for r in borders.has_closed_border(boxes_of(spark, boxes), cells).collect()) == [x for x in sorted(boxes) if closed(*x)]
+
+
 def test_area_guard_keeps_a_group_apart(spark):
     points, styles = grid((1, 1, 9, 4))
     edges = borders.border_edges(cells_of(spark, points, **styles), None, boxes_of(spark, [(1, 1, 20, 20)]))
