@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import KEY, SIDES, Box, has_style
 from .components import edge_components, pair_components
 from .lineage import cut
-from .occupancy import meeting, meeting_pairs, visible_cells, within
+from .occupancy import by_sheet, meeting, meeting_pairs, visible_cells, within
 
 
 def cell_sides(cells: DataFrame, strong: bool = False) -> DataFrame:
@@ -36,7 +36,7 @@ def border_edges(cells: DataFrame, merges: DataFrame | None, bounds: DataFrame,
     out = edges_of_sides(cell_sides(within(seen, bounds), strong))
     if merges is not None:
         b = bounds.select(*KEY, *(F.col(s).alias("b_" + s) for s in SIDES))
-        near = merges.select(*KEY, *SIDES).distinct().join(b, [*KEY]).where(Box().intersects(Box("b_"))).select(*KEY, *SIDES)
+        near = by_sheet(merges.select(*KEY, *SIDES).distinct(), b).where(Box().intersects(Box("b_"))).select(*KEY, *SIDES)
         outer = outline_cells(near).select(*KEY, "side", "row", "col").distinct()
         out = out.unionByName(edges_of_sides(cell_sides(seen, strong).join(outer, [*KEY, "side", "row", "col"], "left_semi")))
     return out.distinct()

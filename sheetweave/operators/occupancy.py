@@ -62,12 +62,23 @@ def print_area(sheets: DataFrame) -> DataFrame:
     return parts.groupBy(*KEY).agg(F.min("b.r0").alias("r0"), F.min("b.c0").alias("c0"), F.max("b.r1").alias("r1"), F.max("b.c1").alias("c1"))
 
 
+#: Parts that a sheet's rows are dealt to.
+DEAL = 64
+
+
+def by_sheet(rows: DataFrame, sheets: DataFrame) -> DataFrame:
+    """rows joined to sheets, a table of few rows a sheet, by parts of a sheet's rows: no task holds a whole sheet."""
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*(c for c in rows.columns if c not in KEY)), F.lit(DEAL)).cast("int"))
+    every = sheets.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    return dealt.join(every, [*KEY, "_deal"]).drop("_deal")
+
+
 def clip_boxes(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
     """Boxes clipped to the bounds of their sheet; those outside are dropped."""
     b = bounds.select(*KEY, *(F.col(s).alias("b_" + s) for s in SIDES))
     clip = Box().clip(Box("b_"))
     rest = [c for c in boxes.columns if c not in (*KEY, *SIDES)]
-    return boxes.join(b, [*KEY]).where(clip.valid).select(*KEY, *rest, *clip.columns())
+    return by_sheet(boxes, b).where(clip.valid).select(*KEY, *rest, *clip.columns())
 
 
 def effective_bounds(content: list[DataFrame], pad_rows: int = 0, pad_cols: int = 0, area: DataFrame | None = None) -> DataFrame:
@@ -96,7 +107,7 @@ def cell_boxes(cells: DataFrame) -> DataFrame:
 def within(cells: DataFrame, bounds: DataFrame) -> DataFrame:
     """Cells inside the bounds of their sheet; bounds have one row a sheet."""
     b = bounds.select(*KEY, *(F.col(s).alias("b_" + s) for s in SIDES))
-    return cells.join(b, [*KEY]).where(Box("b_").contains_cell(F.col("row"), F.col("col"))).drop(*("b_" + s for s in SIDES))
+    return by_sheet(cells, b).where(Box("b_").contains_cell(F.col("row"), F.col("col"))).drop(*("b_" + s for s in SIDES))
 
 
 def occupied_cells(cells: DataFrame, merges: DataFrame, bounds: DataFrame, cfg, hidden: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

@@ -205,6 +205,15 @@ def test_closed_borders_of_all_shapes(spark):
     assert sorted((r.r0, r.c0, r.r1, r.c1) for r in borders.has_closed_border(boxes_of(spark, boxes), cells).collect()) == [x for x in sorted(boxes) if closed(*x)]
 
 
+def test_rows_of_a_sheet_are_dealt(spark):
+    """No task gets all of a sheet's rows with its bounds."""
+    cells = cells_of(spark, [(r, c) for r in range(1, 101) for c in range(1, 6)])
+    bounds = boxes_of(spark, [(1, 1, 90, 4)]).selectExpr("workbook", "sheet", "r1 as last")
+    dealt = occupancy.by_sheet(cells, bounds)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, cells.join(bounds, ["workbook", "sheet"]).collect()))
+    assert cells.count() == dealt.count() and "_deal" in dealt._jdf.queryExecution().toString()
+
+
 def test_area_guard_keeps_a_group_apart(spark):
     points, styles = grid((1, 1, 9, 4))
     edges = borders.border_edges(cells_of(spark, points, **styles), None, boxes_of(spark, [(1, 1, 20, 20)]))
