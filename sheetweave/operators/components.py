@@ -113,5 +113,10 @@ def edge_components(edges: DataFrame, band: int = BAND) -> DataFrame:
     next_ = own.where(F.col("a") % band == 0).select(*KEY, F.col("a").alias("row"), F.explode(F.when(F.col("kind") == "h", F.array("b", F.col("b") + 1)).otherwise(F.array("b"))).alias("col"), F.col("label").alias("m"))
     links = last.join(next_, [*KEY, "row", "col"]).select(*KEY, F.col("l").alias("a"), F.col("m").alias("b")).distinct()
     out = _relabelled(own, links)
-    number = out.select(*KEY, "label").distinct().withColumn("component", F.row_number().over(Window.partitionBy(*KEY).orderBy("label")))
+    # numbers run on from band to band, so that no task orders all of a sheet's labels
+    labels = out.select(*KEY, "label").distinct().withColumn("at", F.floor(F.col("label") / (wide * band)))
+    before = Window.partitionBy(*KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    start = labels.groupBy(*KEY, "at").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    within = labels.withColumn("n", F.row_number().over(Window.partitionBy(*KEY, "at").orderBy("label")))
+    number = within.join(start, [*KEY, "at"]).select(*KEY, "label", (F.col("start") + F.col("n")).cast("int").alias("component"))
     return out.join(number, [*KEY, "label"]).select(*KEY, "kind", "a", "b", "component")

@@ -214,6 +214,15 @@ def test_rows_of_a_sheet_are_dealt(spark):
     assert cells.count() == dealt.count() and "_deal" in dealt._jdf.queryExecution().toString()
 
 
+def test_component_numbers_run_on_over_bands(spark):
+    points = [(r, c) for r in range(1, 12) for c in range(1, 12) if (r * 7 + c * 3) % 5 < 2]
+    edges = borders.border_edges(cells_of(spark, points, **grid((1, 1, 1, 1))[1]), None, boxes_of(spark, [(1, 1, 20, 20)]))
+    numbered = lambda band: components.edge_components(edges, band)
+    few, whole = numbered(2), numbered(1 << 14)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.collect())) and min(r.component for r in few.collect()) == 1
+    assert "row_number() windowspecdefinition(workbook" in (plan := few._jdf.queryExecution().toString()) and ", at" in plan
+
+
 def test_area_guard_keeps_a_group_apart(spark):
     points, styles = grid((1, 1, 9, 4))
     edges = borders.border_edges(cells_of(spark, points, **styles), None, boxes_of(spark, [(1, 1, 20, 20)]))
