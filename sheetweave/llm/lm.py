@@ -38,6 +38,7 @@ from .common import U64, column_buffer, cut, mix, slices, word_hashes
 
 CLASSES, OWN, FIRST_BITS = 64, 32, 5
 REACH, DIM, HIDDEN, BATCH, RATE = 2, 8, 16, 4096, 0.08
+_STEPS = [*range(-REACH, 0), *range(1, REACH + 1)]
 LEAST_BITS, MOST_BITS, WORDS_AN_ID, NODE_BITS, UNITS = 13, 22, 16, 13, 8
 NODES = 1 << NODE_BITS
 SHARD_BYTES, DISCOUNT = 4 << 20, 0.75
@@ -45,7 +46,7 @@ SHARD_BYTES, DISCOUNT = 4 << 20, 0.75
 LANDMARK = 1
 #: Bytes of text of a block, and those whose words' contexts a part of the counts has on average.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
-_SHAPES = ((CLASSES + 1, DIM), (2 * REACH * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (NODES, UNITS))
+_SHAPES = ((CLASSES + 1, DIM), (2 * REACH * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (UNITS, NODES))
 #: Whole numbers to which trained parameters are scaled to be added up, and the parameters of a row of them.
 _UNIT, _CHUNK = 1 << 24, 1 << 12
 
@@ -70,6 +71,16 @@ def contexts(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(mix(left) * U64(3) + right)
 
 
+def _apart(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' classes with REACH places of a class of its own before and behind each text that has words, and each word's place."""
+    sizes = np.diff(bounds)
+    sizes = sizes[sizes > 0]
+    at = np.arange(len(classes)) + REACH * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    near = np.full(len(classes) + REACH * (len(sizes) + 1), CLASSES, np.int64)
+    near[at] = classes
+    return near, at
+
+
 class Tables:
     """Class of each id; log-odds of the second half at each of the first nodes and log-share of each id below them, by counts."""
 
@@ -101,16 +112,20 @@ class Tables:
 
     def path(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first nodes that lead to each id below its class, and whether it lies in the second half at each."""
-        depth = np.arange(FIRST_BITS, NODE_BITS)
-        at = (ids >> (self.bits - NODE_BITS))[:, None]
-        return (at >> (NODE_BITS - depth)) + (1 << depth), (at >> (NODE_BITS - depth - 1)) & 1 == 1
+        depth = np.arange(FIRST_BITS, NODE_BITS)[:, None]
+        at = ids >> (self.bits - NODE_BITS)
+        return ((at >> (NODE_BITS - depth)) + (1 << depth)).T, ((at >> (NODE_BITS - depth - 1)) & 1 == 1).T
 
 
 class Network:
+    """What has a value for each word and class, or for each word, node and unit, is held by class or unit and node first, so that
+    sums over these run along words."""
+
     def __init__(self, parameters: np.ndarray):
         ends = np.cumsum([0, *(int(np.prod(s)) for s in _SHAPES)])
         self.flat = parameters.astype(np.float32)
-        self.embed, self.w1, self.b1, self.w2, self.b2, self.nodes = (self.flat[a:b].reshape(s) for a, b, s in zip(ends[:-1], ends[1:], _SHAPES, strict=True))
+        self.embed, self.w1, self.b1, self.w2, self.b2, units = (self.flat[a:b].reshape(s) for a, b, s in zip(ends[:-1], ends[1:], _SHAPES, strict=True))
+        self.nodes = units.T
 
     @classmethod
     def start(cls, share: np.ndarray, seed: int = 3) -> Network:
@@ -120,68 +135,84 @@ class Network:
 
     def context(self, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Classes of the words on both sides of each word; beyond the text's ends a class of its own."""
-        at = np.arange(len(classes))
-        first, last = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(bounds[1:], np.diff(bounds))
-        out = np.empty((len(classes), 2 * REACH), np.int64)
-        for k, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-            near = at + step
-            inside = (near >= first) & (near < last)
-            out[:, k] = np.where(inside, classes[np.where(inside, near, 0)], CLASSES)
-        return out
+        near, at = _apart(classes, bounds)
+        return near[at[:, None] + _STEPS]
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = self.embed[context].reshape(len(context), -1)
+    def scores(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The embeddings around each word, its hidden units, and by class its scores less the largest."""
+        x = self.embed.take(context, axis=0).reshape(len(context), -1)
         hidden = np.tanh(x @ self.w1 + self.b1)
-        z = hidden @ self.w2 + self.b2
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        return x, hidden, p
+        z = self.w2.T @ hidden.T
+        z += self.b2[:, None]
+        z -= z.max(axis=0)
+        return x, hidden, z
 
-    def halves(self, hidden: np.ndarray, node: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
-        """The weights at each node of each path, and the log-odds of its second half."""
-        weight = self.nodes[node]
-        return weight, tables.bias[node] + np.matmul(weight, hidden[:, :UNITS, None])[:, :, 0]
+    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, hidden, p = self.scores(context)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
+        return x, hidden, p.T
 
-    def log_likelihood(self, ids: np.ndarray, bounds: np.ndarray, tables: Tables, block: int = 1 << 14) -> np.ndarray:
+    def halves(self, hidden: np.ndarray, node: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+        """By unit the weights at each node of each path, and the log-odds of its second half."""
+        at, units = np.ascontiguousarray(node.T), np.ascontiguousarray(hidden[:, :UNITS].T)
+        weight, z = np.empty((UNITS, *at.shape), np.float32), tables.bias.take(at)
+        for unit, own, each in zip(self.nodes.T, weight, units, strict=True):
+            unit.take(at, out=own, mode="clip")
+            z += own * each
+        return weight, z.T
+
+    def log_likelihood(self, ids: np.ndarray, bounds: np.ndarray, tables: Tables, block: int = 1 << 12) -> np.ndarray:
         """The log-probability of each id given those around it."""
-        classes = tables.class_of[ids].astype(np.int64)
-        context = self.context(classes, bounds)
+        classes = tables.class_of[ids]
+        near, at = _apart(classes, bounds)
         out = np.zeros(len(ids))
         for a in range(0, len(ids), block):
-            _, hidden, p = self.forward(context[a : a + block])
+            _, hidden, z = self.scores(near[at[a : a + block, None] + _STEPS])
             own = classes[a : a + block]
-            each = np.log(np.maximum(p[np.arange(len(p)), own], 1e-12)).astype(np.float64)
+            each = z[own, np.arange(len(own))] - np.log(np.exp(z, out=z).sum(axis=0))
+            each = np.maximum(each, np.log(1e-12)).astype(np.float64)
             rest = np.flatnonzero(own >= OWN)
             node, second = tables.path(ids[a : a + block][rest])
-            z = self.halves(hidden[rest], node, tables)[1]
-            each[rest] += tables.below[ids[a : a + block][rest]] - np.logaddexp(0, np.where(second, -z, z)).sum(axis=1)
+            odds = self.halves(hidden[rest], node, tables)[1]
+            odds = np.where(second, -odds, odds)
+            # the sum of log(1 + exp(odds)), with one logarithm a word
+            against = np.maximum(odds, 0).sum(axis=1) + np.log(np.prod(1 + np.exp(-np.abs(odds)), axis=1))
+            each[rest] += tables.below[ids[a : a + block][rest]] - against
             out[a : a + block] = each
         return out
 
+    def gradient(self, near: np.ndarray, at: np.ndarray, ids: np.ndarray, tables: Tables) -> np.ndarray:
+        """The gradient of the mean loss of the words at these places, whose ids are given, in the order of the parameters."""
+        y = near[at]
+        x, hidden, p = self.forward(near[at[:, None] + _STEPS])
+        p.T[y, np.arange(len(y))] -= 1
+        p /= len(y)
+        d_hidden = p @ self.w2.T
+        rest = np.flatnonzero(y >= OWN)
+        node, second = tables.path(ids[rest])
+        own = hidden[rest]
+        weight, z = self.halves(own, node, tables)
+        error = ((0.5 * (1 + np.tanh(0.5 * z)) - second) / len(y)).astype(np.float32).T
+        d_hidden[rest, :UNITS] += np.stack([(error * w).sum(axis=0) for w in weight], axis=1)
+        nodes = node.T.ravel()
+        d_nodes = [np.bincount(nodes, weights=(error * h).ravel(), minlength=NODES) for h in np.ascontiguousarray(own[:, :UNITS].T)]
+        d_hidden *= 1 - hidden * hidden
+        # a word's embedding is used in the windows around it: summed over these first, then by class
+        windows = np.zeros((at[-1] - at[0] + 1, HIDDEN), np.float32)
+        windows[at - at[0]] = d_hidden
+        d_x, d_near = windows @ self.w1.T, np.zeros((len(windows) + 2 * REACH, DIM), np.float32)
+        for k, step in enumerate(_STEPS):
+            d_near[REACH + step : REACH + step + len(windows)] += d_x[:, k * DIM : (k + 1) * DIM]
+        around = near[at[0] - REACH : at[-1] + REACH + 1]
+        d_embed = np.stack([np.bincount(around, weights=d, minlength=CLASSES + 1) for d in d_near.T], axis=1)
+        return np.concatenate([d_embed.ravel(), (x.T @ d_hidden).ravel(), d_hidden.sum(axis=0), (hidden.T @ p).ravel(), p.sum(axis=0), *d_nodes]).astype(np.float32)
+
     def train(self, ids: np.ndarray, bounds: np.ndarray, tables: Tables, seen: np.ndarray) -> None:
         """A pass of adaptive gradient steps; seen holds the parameters' squared gradients so far."""
-        classes = tables.class_of[ids].astype(np.int64)
-        context = self.context(classes, bounds)
+        near, at = _apart(tables.class_of[ids], bounds)
         for a in range(0, len(ids), BATCH):
-            c, y = context[a : a + BATCH], classes[a : a + BATCH]
-            x, hidden, p = self.forward(c)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            d_hidden = p @ self.w2.T
-            rest = np.flatnonzero(y >= OWN)
-            node, second = tables.path(ids[a : a + BATCH][rest])
-            own = hidden[rest]
-            weight, z = self.halves(own, node, tables)
-            error = ((0.5 * (1 + np.tanh(0.5 * z)) - second) / len(y)).astype(np.float32)
-            d_hidden[rest, :UNITS] += np.matmul(error[:, None, :], weight)[:, 0]
-            at = (node[:, :, None] * UNITS + np.arange(UNITS)).ravel()
-            d_nodes = np.bincount(at, weights=(error[:, :, None] * own[:, None, :UNITS]).ravel(), minlength=NODES * UNITS)
-            d_hidden *= 1 - hidden * hidden
-            d_x = (d_hidden @ self.w1.T).reshape(-1, DIM)
-            place = (c.ravel()[:, None] * DIM + np.arange(DIM)).ravel()
-            d_embed = np.bincount(place, weights=d_x.ravel(), minlength=(CLASSES + 1) * DIM)
-            g = np.concatenate([d_embed, (x.T @ d_hidden).ravel(), d_hidden.sum(axis=0), (hidden.T @ p).ravel(), p.sum(axis=0), d_nodes]).astype(np.float32)
+            g = self.gradient(near, at[a : a + BATCH], ids[a : a + BATCH], tables)
             seen += g * g
             self.flat -= RATE * g / np.sqrt(seen)
 

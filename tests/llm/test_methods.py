@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -175,6 +176,55 @@ def test_scores_are_sums_of_conditionals_over_the_vocabulary(spark, corpus):
         assert abs(score - got[at]) < 1e-3
 
 
+def plain_training(net, ids, bounds, tables, seen):
+    """A pass over the words by the formulas, with a sum for each word and weight."""
+    classes = tables.class_of[ids].astype(np.int64)
+    context = net.context(classes, bounds)
+    for a in range(0, len(ids), lm.BATCH):
+        c, y = context[a : a + lm.BATCH], classes[a : a + lm.BATCH]
+        x = net.embed[c].reshape(len(c), -1)
+        hidden = np.tanh(x @ net.w1 + net.b1)
+        p = np.exp(hidden @ net.w2 + net.b2)
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        d_hidden = p @ net.w2.T
+        rest = np.flatnonzero(y >= lm.OWN)
+        node, second = tables.path(ids[a : a + lm.BATCH][rest])
+        weight, own = np.ascontiguousarray(net.nodes)[node], hidden[rest, : lm.UNITS]
+        z = tables.bias[node] + np.matmul(weight, own[:, :, None])[:, :, 0]
+        error = (1 / (1 + np.exp(-z)) - second) / len(y)
+        d_hidden[rest, : lm.UNITS] += np.matmul(error[:, None, :], weight)[:, 0]
+        at = (node[:, :, None] * lm.UNITS + np.arange(lm.UNITS)).ravel()
+        d_nodes = np.bincount(at, weights=(error[:, :, None] * own[:, None]).ravel(), minlength=net.nodes.size).reshape(net.nodes.shape)
+        d_hidden *= 1 - hidden * hidden
+        place = (c.ravel()[:, None] * lm.DIM + np.arange(lm.DIM)).ravel()
+        d_embed = np.bincount(place, weights=(d_hidden @ net.w1.T).ravel(), minlength=net.embed.size).reshape(net.embed.shape)
+        for name, g in {"embed": d_embed, "w1": x.T @ d_hidden, "b1": d_hidden.sum(axis=0), "w2": hidden.T @ p, "b2": p.sum(axis=0), "nodes": d_nodes}.items():
+            seen[name] = seen.get(name, 1e-4) + g * g
+            getattr(net, name)[...] -= lm.RATE * g / np.sqrt(seen[name])
+
+
+def test_network_trains_by_the_formulas_in_less_time():
+    rng = np.random.default_rng(4)
+    bounds = np.cumsum([0, *rng.integers(0, 4, 300), *rng.integers(0, 900, 60), 0])
+    ids = (1 << 15) * rng.random(bounds[-1]) ** 6
+    ids = ids.astype(np.int64) * 7919 % (1 << 15)
+    tables, took = lm.Tables(np.bincount(ids, minlength=1 << 15)), {"plain": [], "own": []}
+    for _ in range(5):
+        plain, own = lm.Network.start(tables.share), lm.Network.start(tables.share)
+        began = time.thread_time()
+        plain_training(plain, ids, bounds, tables, {})
+        took["plain"].append(time.thread_time() - began)
+        seen, began = np.full(len(own.flat), 1e-4, np.float32), time.thread_time()
+        own.train(ids, bounds, tables, seen)
+        took["own"].append(time.thread_time() - began)
+    assert all(np.abs(getattr(plain, k) - getattr(own, k)).max() < 1e-4 for k in ("embed", "w1", "b1", "w2", "b2", "nodes"))
+    assert np.abs(own.nodes).max() > 0.01 and min(took["own"]) < 0.75 * min(took["plain"])
+    own.train(ids[:0], np.zeros(3, np.int64), tables, seen)  # texts without words
+    assert len(own.log_likelihood(ids[:0], np.zeros(3, np.int64), tables)) == 0
+
+
 def test_scores_depend_on_the_corpus_and_not_on_partitions(spark, corpus):
     docs = docs_of(spark, corpus)
     key = lambda r: (str(r.doc_id), r.n_words, r.log_likelihood, r.memory)
