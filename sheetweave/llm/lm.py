@@ -46,15 +46,28 @@ SHARD_BYTES, DISCOUNT = 4 << 20, 0.75
 LANDMARK = 1
 #: Bytes of text of a block, and those whose words' contexts a part of the counts has on average.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
+#: Bytes of text that are hashed at once: what is computed of them stays in a processor's cache.
+HASH_BYTES = 1 << 19
 _SHAPES = ((CLASSES + 1, DIM), (2 * REACH * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (UNITS, NODES))
 #: Whole numbers to which trained parameters are scaled to be added up, and the parameters of a row of them.
 _UNIT, _CHUNK = 1 << 24, 1 << 12
 
 
+def _hashed(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes, by slices of the rows."""
+    parts, bounds, n = [], [np.zeros(1, np.int64)], 0
+    for a, b in slices(offsets, HASH_BYTES):
+        hashes, ends = word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        parts.append(hashes)
+        bounds.append(ends[1:] + n)
+        n += len(hashes)
+    return np.concatenate(parts), np.concatenate(bounds)
+
+
 def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, offsets = column_buffer(column)
     for a, b in slices(offsets):
-        hashes, bounds = word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        hashes, bounds = _hashed(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         yield a, b, hashes, bounds
 
 
@@ -345,7 +358,7 @@ def _texts(lengths: bytes, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray
     offsets = np.concatenate([[0], np.cumsum(_unpacked(lengths).astype(np.int64))])
     raw = np.frombuffer(pa.decompress(text, int(offsets[-1]), "zstd", asbytes=True), np.uint8)
     for a, b in slices(offsets):
-        yield word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield _hashed(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
 def _firsts(*columns: np.ndarray) -> np.ndarray:
@@ -362,7 +375,18 @@ def _order(context: np.ndarray, words: np.ndarray) -> np.ndarray:
     alone = first.copy()
     alone[:-1] &= first[1:]
     at = np.flatnonzero(~alone)
-    order[at] = order[at][np.lexsort((words[order[at]], np.cumsum(first)[at]))]
+    if len(at):
+        tied, key = words[order[at]], np.cumsum(first[at]).astype(U64)
+        bits = U64(int(key[-1]).bit_length())
+        key <<= U64(64) - bits
+        key |= tied >> bits
+        by = np.argsort(key)
+        key = key[by]
+        same = ~_firsts(key)
+        del key
+        if np.any(same & _firsts(tied[by])):  # different words with the same first bits
+            by = np.lexsort((tied, np.cumsum(first[at])))
+        order[at] = order[at][by]
     return order
 
 

@@ -278,6 +278,26 @@ def test_every_context_is_counted(spark, corpus, monkeypatch):
     assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 and abs(a[3] - b[3]) < 1e-9 for a, b in zip(sorted(got), sorted(want), strict=True))
 
 
+def test_order_tells_words_with_the_same_first_bits_apart():
+    rng = np.random.default_rng(2)
+    for n, contexts, low in ((0, 1, 1), (1, 1, 1), (500, 1, 3), (2000, 40, 1 << 62), (2000, 1500, 5), (3000, 700, 9)):
+        context = rng.integers(0, contexts, n).astype(np.uint64) << np.uint64(50)
+        words = rng.integers(0, low, n).astype(np.uint64) + (rng.integers(0, 2, n).astype(np.uint64) << np.uint64(63))
+        got, want = lm._order(context, words), np.lexsort((words, context))
+        assert np.array_equal(np.sort(got), np.arange(n))
+        assert np.array_equal(context[got], context[want]) and np.array_equal(words[got], words[want])
+
+
+def test_words_are_hashed_alike_by_slices(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", *(" ".join(rng.choices(["Été", "two", "three3", "x"], k=rng.randrange(40))) for _ in range(50)), "", "one", ""]
+    raw, offsets = text_buffer(texts)
+    want = word_hashes(raw, offsets)
+    for most in (1, 100, 1000, 1 << 20):
+        monkeypatch.setattr(lm, "HASH_BYTES", most)
+        assert all(np.array_equal(a, b) for a, b in zip(lm._hashed(raw, offsets), want, strict=True))
+
+
 def test_pages_of_rows_that_no_bit_parts(spark):
     rng = random.Random(1)
     rows = [(None, "x" * rng.randint(0, 40)) for _ in range(300)] + [(7, "y" * 10)] * 250 + [(8, "z" * 500)]
